@@ -2,7 +2,7 @@
 
 For each language seen in the labelled rows, ``DICTIONARIES`` raw-content dictionaries are made from a bounded sample
 of their texts. A text is cut into pieces of ``PIECE`` bytes and every piece compressed with each language's first
-dictionary (a text of one piece: with all, for a finer measure); the language of the smallest total wins. The margin is the relative distance of the runner-up, ``1 - smallest / next``; below ``MARGIN`` the
+dictionary (a text of at most ``SHORT`` bytes: with all, for a finer measure); the language of the smallest total wins. The margin is the relative distance of the runner-up, ``1 - smallest / next``; below ``MARGIN`` the
 text is rejected. The score is ``margin / (margin + MARGIN)``, so a half is the border.
 
 Learning (bounds are parameters): of the rows with a language that are not held out, per language the ``SAMPLE`` rows
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 SAMPLE, SHARE, SIZE, DICTIONARIES = 144, 2048, 65536, 3
-PIECE, LEVEL, MARGIN = 2048, 12, 0.002
+PIECE, SHORT, LEVEL, MARGIN = 2048, 384, 12, 0.002
 
 _LETTER = regex.compile(r"\p{L}")
 _LETTERS = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
@@ -80,7 +80,7 @@ class Model:
             return self.ready[0][0], 1.0, False
         data = plain(text)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        use = min(len(packs) for _, packs in self.ready) if len(pieces) == 1 else 1
+        use = min(len(packs) for _, packs in self.ready) if len(data) <= SHORT else 1
         sizes = sorted((sum(len(pack(p)) for pack in packs[:use] for p in pieces), lang) for lang, packs in self.ready)
         margin = 1 - sizes[0][0] / sizes[1][0]
         return sizes[0][1], margin / (margin + MARGIN), margin < MARGIN
