@@ -1,0 +1,4 @@
+"""All queries of the retrieval engine, with their SQL."""
+
+QUERIES = {}
+ORACLE_SQL = {}
