@@ -85,7 +85,7 @@ def _ids(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
         x, whole = matrix(column, v.matrix.shape[1])
         best, near = v.nearest(x)
         at = np.flatnonzero(whole)
-        ids[at], value[at], has[at] = v.ids[best], near, best >= 0
+        ids[at], value[at], has[at] = np.append(v.ids, 0)[best], near, best >= 0
     return ids, value, has
 
 
