@@ -1,7 +1,7 @@
 """Linking near-duplicates: exact verification of banding candidates and distributed connected components.
 
 Everything here is DataFrame code. Buckets are never expanded into all their pairs: a bucket's members are compared
-with one hub at a time, and members that are already connected are not compared again.
+with its hub, and only members that this leaves apart, and that exact bounds do not keep apart, with one another.
 """
 
 from __future__ import annotations
@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import save, small
 
-#: Rounds of hub comparisons before the members of a bucket that still are in different components meet in pairs.
-HUB_ROUNDS = 4
-
 
 def buckets(keys: DataFrame) -> DataFrame:
     """Members ``(key, id)`` of all buckets with two or more different ids.
@@ -65,43 +62,69 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs(h, id)`` compared exactly: ``linked``, set sizes ``nh`` and ``n``, and ``diff``, the tokens in one only.
+
+    Tokens that the hub alone has are told from the others by their complement.
+    """
+    left = sets.select(F.col("id").alias("h"), F.col("items").alias("sh"))
+    right = sets.select("id", F.col("items").alias("s"))
+    lacks = F.transform(F.array_except("sh", "s"), lambda x: F.bitwise_not(x))
+    both = pairs.join(left, "h").join(right, "id").withColumn("diff", F.concat(F.array_except("s", "sh"), lacks))
+    both = both.select("h", "id", F.size("sh").alias("nh"), F.size("s").alias("n"), "diff")
+    return both.withColumn("linked", F.size("diff") * (100 + percent) <= (F.col("n") + F.col("nh")) * (100 - percent))
+
+
+def _unsettled(tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a hub's group that are in different components and that exact bounds can't rule out.
+
+    Let D be a member's difference from the hub, n its size, c = (100 - percent) / (100 + percent). Two members are
+    linked just if |Da ^ Db| <= c (na + nb), that is if |Da & Db| >= t = (|Da| + |Db| - c (na + nb)) / 2. Members in
+    different components have t > 0, so they share a token of difference; and as t is at least tau for all partners
+    (unlinked to the hub: (|D| - c (n + nh) + (1 - c)) / 2; linked to it, so the partner isn't: (1 - c) |D| / 2), they
+    share one of the |D| - tau + 1 rarest. Tokens that no other member of the group has can't be shared.
+    """
+    c = (100 - percent) / (100 + percent)
+    at = tested.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+    at = at.join(roots.select(F.col("id").alias("h"), F.col("root").alias("rh")), "h", "left").withColumn("ch", F.coalesce("rh", "h")).drop("rh")
+    open_ = at.where("c <> ch").select("h").distinct()
+    at = at.join(open_, "h", "left_semi").withColumn("d", F.size("diff"))
+    over = F.col("d") - c * (F.col("n") + F.col("nh"))
+    tau = F.when(F.col("linked"), (1 - c) / 2 * F.col("d")).otherwise((over + (1 - c)) / 2)
+    at = at.withColumn("tau", F.greatest(F.lit(1), F.ceil(tau - 1e-9)).cast("int"))
+    at = save(at.select("h", "id", "c", "linked", "n", "d", "tau", "diff"), "diffs")
+
+    tokens = at.select("h", "id", F.explode("diff").alias("t"))
+    often = tokens.groupBy("h", "t").agg(F.count("*").alias("f")).where("f > 1")
+    shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    s = F.size("ts")
+    rows = at.drop("diff").join(shared, ["h", "id"]).withColumn("s", s).where("s >= tau")
+    rows = rows.withColumn("t", F.explode(F.transform(F.slice("ts", 1, F.col("s") - F.col("tau") + 1), lambda x: x["t"]))).drop("ts", "tau")
+    rows = save(rows, "prefixes")
+    x = rows.select("h", "t", *[F.col(k).alias(f"{k}a") for k in ("id", "c", "linked", "n", "d", "s")])
+    y = rows.select("h", "t", *[F.col(k).alias(f"{k}b") for k in ("id", "c", "linked", "n", "d", "s")])
+    need = (F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - 1e-9
+    met = x.join(y, ["h", "t"]).where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb")) & (need <= F.least("sa", "sb")))
+    return met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
 def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(id, root)`` of the components that verified links form; ids without a link, and roots, are left out.
 
-    ``members(key, id)`` are the buckets, ``sets(id, items)`` the full sets of all members. Each round compares the
-    smallest member of every unfinished bucket (its hub) with the members that are in other components, and then takes
-    the hub out. A bucket is finished when its members are in one component. After ``HUB_ROUNDS`` rounds the members
-    of unfinished buckets that are in different components are compared directly, so no candidate pair is lost.
+    ``members(key, id)`` are the buckets, ``sets(id, items)`` the full sets of all members. Every bucket has a hub, the
+    member that shares most buckets with others, and each member is compared exactly with its hubs. Pairs of members
+    that are then still in different components are compared if their differences from the hub leave it possible
+    (``_unsettled``), so no candidate pair is lost, and a group around its hub costs one comparison a member.
     """
-    live = members
-    checked = roots = None
-    for turn in range(HUB_ROUNDS + 1):
-        if roots is None:
-            placed = live.withColumn("c", F.col("id"))
-        else:
-            placed = live.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
-            open_ = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-            placed = placed.join(open_.select("key"), "key", "left_semi")
-        if turn:
-            placed = save(placed, "placed")
-            if placed.isEmpty():
-                return roots
-        if turn < HUB_ROUNDS:
-            hub = placed.groupBy("key").agg(F.min(F.struct("id", "c")).alias("hub"))
-            met = placed.join(hub, "key").where("id <> hub.id")
-            pairs = met.where("c <> hub.c").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-            live = met.select("key", "id")
-        else:
-            x = placed.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-            y = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        tested = save(verify(pairs, sets, percent), "tested")
-        live = save(live, "live") if turn < HUB_ROUNDS else live
-        checked = tested if checked is None else checked.unionByName(tested)
-        new = tested.where("linked").select("a", "b")
-        old = roots.select(F.col("id").alias("a"), F.col("root").alias("b")) if roots is not None else None
-        if old is None or not new.isEmpty():
-            roots = components(new if old is None else new.unionByName(old))
-    return roots
+    sizes = members.groupBy("key").agg(F.count("*").alias("k"))
+    degrees = members.join(sizes, "key").groupBy("id").agg(F.sum("k").alias("degree"))
+    ranked = save(members.join(degrees, "id"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub")).select("key", F.col("hub.id").alias("h"))
+    pairs = ranked.join(hubs, "key").where("id <> h").select("h", "id").distinct()
+    tested = save(_differences(pairs, sets, percent), "tested")
+    links = tested.where("linked").select(F.col("h").alias("a"), F.col("id").alias("b"))
+    roots = components(links)
+    more = save(verify(_unsettled(tested, roots, percent), sets, percent).where("linked").select("a", "b"), "more")
+    if more.isEmpty():
+        return roots
+    return components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))

@@ -137,10 +137,20 @@ FROM x GROUP BY conv_id
 """
 
 _OP6 = r"""
-WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-b AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM i WHERE len(w) > 0),
-d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents),
-m AS (SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t))
+WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+b AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ks AS (SELECT DISTINCT k FROM b),
+bg AS (SELECT item_id, n, k, unnest(range(0, n - k + 1)) AS o, unnest(list_transform(range(1, n - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g FROM b),
+dg AS (SELECT doc_id, len(w) AS words, k, unnest(range(0, len(w) - k + 1)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g
+  FROM d, ks WHERE len(w) >= k),
+a AS (SELECT DISTINCT doc_id, n, dg.k, greatest(0, least(p - o, words - n)) AS s FROM dg JOIN (SELECT DISTINCT n, k, o, g FROM bg) x ON x.k = dg.k AND x.g = dg.g WHERE words >= n),
+wg AS (SELECT a.doc_id, a.n, a.s, dg.g, count(*) AS c FROM a JOIN dg ON dg.doc_id = a.doc_id AND dg.k = a.k AND dg.p BETWEEN a.s AND a.s + a.n - a.k GROUP BY ALL),
+ig AS (SELECT item_id, n, g, count(*) AS c FROM bg GROUP BY ALL),
+wt AS (SELECT doc_id, n, s, sum(c * length(g)) AS t FROM wg GROUP BY ALL),
+it AS (SELECT item_id, sum(c * length(g)) AS t FROM ig GROUP BY ALL),
+x AS (SELECT doc_id, item_id, wg.n, s, sum(least(wg.c, ig.c) * length(wg.g)) AS common FROM wg JOIN ig ON ig.n = wg.n AND ig.g = wg.g GROUP BY ALL),
+m AS (SELECT DISTINCT x.doc_id, x.item_id FROM x JOIN wt ON wt.doc_id = x.doc_id AND wt.n = x.n AND wt.s = x.s JOIN it ON it.item_id = x.item_id WHERE 100 * common >= 80 * (wt.t + it.t - common))
 SELECT doc_id, count(item_id) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items, count(item_id) = 0 AS kept
 FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id
 """
@@ -169,7 +179,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM a
 """
 
-#: op6's SQL holds where matches are exact, as in the given tables; the operator also finds changed passages.
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": _OP4,
     "op5_minhash_near_dedup": _OP5,
