@@ -7,8 +7,10 @@ a notice's words that are aligned; a notice is present if ``COVERAGE`` of them a
 
 Only places that can reach that are aligned. A notice with coverage c lacks a share 1 - c of its words at most, so any
 set of its words that makes up more than that share (the ``cues``: its longest words) must be there in part. An
-Aho-Corasick automaton finds the cues in the whole text; around each cluster of hits lies a region of ``REACH`` times
-the notice's length to either side, and the notice is aligned with each region. Regions of one notice do not overlap.
+Aho-Corasick automaton finds the cues in the whole text. A hit says where the notice would start, and the notice is
+aligned with the words there, a quarter of its length more on either side. Hits that give no notice are tried once more
+in clusters, with a notice's length of words around them, where passages may have been put in. Reading goes on behind a
+notice that was found.
 
 Cases: null and empty texts hold no notice; a notice may occur many times; among notices whose spans overlap the one
 with the most aligned words wins, then the higher coverage, then the first by name; repeated rows are rows like others;
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .license_texts import NOTICES
 
-COVERAGE, REACH = 0.8, 2
+COVERAGE = 0.8
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -124,16 +126,12 @@ class Notices:
                 at.setdefault(w, []).append(i)
         out = []
         for name in names:
-            words = self.words[name]
-            for lo, hi in _regions(sorted({i for w in self.cues[name] for i in at.get(w, ())}), REACH * len(words), len(body)):
-                while lo < hi:
-                    pairs = align(words, body[lo:hi])
-                    share = len(pairs) / len(words)
-                    if share < self.coverage:
-                        break
-                    first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                    out.append((name, share, len(pairs), cut[first][0], cut[last][1]))
-                    lo = last + 1
+            words, hits = self.words[name], sorted({i for w in self.cues[name] for i in at.get(w, ())})
+            n = len(words)
+            starts = sorted({i - o for i in hits for o, w in enumerate(words) if w == body[i]})
+            tight = [(max(0, s - n // 4 - 1), s + n + n // 4 + 1) for s in starts]
+            done = self._read(name, tight, body, cut, out)
+            self._read(name, _clusters([i for i in hits if i not in done], n), body, cut, out)
         out.sort(key=lambda x: (-x[2], -x[1], x[0], x[3]))
         chosen: list = []
         for x in out:
@@ -141,19 +139,31 @@ class Notices:
                 chosen.append(x)
         return sorted(chosen, key=lambda x: x[3])
 
-
-def _regions(hits: list[int], reach: int, n: int) -> list[tuple[int, int]]:
-    """Runs of words around hits; hits nearer to one another than a quarter of the reach share a run."""
+    def _read(self, name: str, places: list[tuple[int, int]], body: list[str], cut: list, out: list) -> set[int]:
+        """Align the notice with places in order; add what reaches the coverage to ``out``. Returns the words covered."""
+        words, covered, done = self.words[name], set(), 0
+        for lo, hi in places:
+            lo = max(lo, done)
+            if hi - lo < self.coverage * len(words):
+                continue
+            pairs = align(words, body[lo:hi])
+            if len(pairs) >= self.coverage * len(words):
+                first, last = lo + pairs[0][1], lo + pairs[-1][1]
+                out.append((name, len(pairs) / len(words), len(pairs), cut[first][0], cut[last][1]))
+                covered.update(range(first, last + 1))
+                done = last + 1
+        return covered
+
+
+def _clusters(hits: list[int], n: int) -> list[tuple[int, int]]:
+    """Places around runs of hits that are no more than half a notice apart."""
     out: list[tuple[int, int]] = []
-    first = last = None
-    for h in [*hits, None]:
-        if last is not None and (h is None or h - last > max(1, reach // 4)):
-            out.append((max(0, first - reach // 2, out[-1][1] if out else 0), min(n, last + reach // 2 + 1)))
-            first = None
-        if h is not None:
-            first = h if first is None else first
-            last = h
-    return out
+    for h in hits:
+        if out and h - out[-1][1] <= n // 2 + 1:
+            out[-1] = (out[-1][0], h)
+        else:
+            out.append((h, h))
+    return [(max(0, a - n), b + n + 1) for a, b in out]
 
 
 def op1(docs: DataFrame, notices: dict[str, str] = NOTICES, coverage: float = COVERAGE) -> DataFrame:
