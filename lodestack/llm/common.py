@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,9 @@ def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     keyed = docs.withColumns({"_ls_id0": F.col("doc_id"), "_ls_th0": text_key(F.col("text"))})
     on = keyed["_ls_id0"].eqNullSafe(keys["_ls_id"]) & (keyed["_ls_th0"] == keys["_ls_th"])
     return keyed.join(keys, on, how).select(*docs.columns)
+
+
+def rows_of(names: list[str], types: list[pa.DataType], rows) -> pa.StructArray:
+    """An Arrow struct array of tuples; texts are taken one at a time, so a batch's texts never are Python objects together."""
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)

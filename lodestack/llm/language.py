@@ -17,13 +17,13 @@ the pipeline's stage.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, rows_of
 
 SAMPLE, SHARE, SIZE, DICTIONARIES = 144, 2048, 65536, 3
 PIECE, SHORT, LEVEL, MARGIN = 2048, 384, 12, 0.002
@@ -97,10 +97,10 @@ def predicted(docs: DataFrame, contents: dict[str, list[bytes]]) -> Column:
     """Column of ``struct<lang_pred, score, rejected>`` for the column ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(contents))
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    def run(texts: pa.Array) -> pa.Array:
         model = shared.value
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        return rows_of(["lang_pred", "score", "rejected"], [pa.string(), pa.float64(), pa.bool_()], (model.predict(t.as_py()) for t in texts))
 
     return run("text")
 

@@ -23,10 +23,11 @@ import bisect
 import re
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_of
 from .license_texts import NOTICES
 
 COVERAGE = 0.8
@@ -174,14 +175,14 @@ def op1(docs: DataFrame, notices: dict[str, str] = NOTICES, coverage: float = CO
     model = docs.sparkSession.sparkContext.broadcast((notices, coverage))
     ready: list[Notices] = []
 
-    @F.pandas_udf("n_notices long, license string, coverage double, spans string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def one(text: str | None) -> tuple:
+        found = ready[0].scan(text) if text else []
+        return (len(found), found[0][0] if found else None, found[0][1] if found else 0.0, ",".join(f"{x[0]}:{x[3]}:{x[4]}" for x in found))
+
+    @F.arrow_udf("struct<n_notices:long,license:string,coverage:double,spans:string>")
+    def run(texts: pa.Array) -> pa.Array:
         if not ready:
             ready.append(Notices(*model.value))
-        rows = []
-        for text in texts:
-            found = ready[0].scan(text) if text else []
-            rows.append((len(found), found[0][0] if found else None, found[0][1] if found else 0.0, ",".join(f"{x[0]}:{x[3]}:{x[4]}" for x in found)))
-        return pd.DataFrame(rows, columns=["n_notices", "license", "coverage", "spans"])
+        return rows_of(["n_notices", "license", "coverage", "spans"], [pa.int64(), pa.string(), pa.float64(), pa.string()], (one(t.as_py()) for t in texts))
 
     return docs.select("doc_id", run("text").alias("p")).select("doc_id", "p.*")

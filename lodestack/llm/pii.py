@@ -24,10 +24,12 @@ import hashlib
 import re
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_of
+
 KINDS = ("email", "ip", "card", "phone", "secret", "url", "iban")
 BASE = KINDS[:4]
 
@@ -149,14 +151,16 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 def op3(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, counts of the base kinds, ``base_sha256`` of their spans, all ``spans``."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            found = spans(text or "")
-            base = [x for x in found if x[1] < len(BASE)]
-            kinds = [x[1] for x in base]
-            rows.append((*(kinds.count(k) for k in range(len(BASE))), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+
+    def one(text: str | None) -> tuple:
+        found = spans(text or "")
+        base = [x for x in found if x[1] < len(BASE)]
+        kinds = [x[1] for x in base]
+        return (*(kinds.count(k) for k in range(len(BASE))), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found))
+
+    @F.arrow_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return rows_of(names, [pa.int64()] * len(BASE) + [pa.string()] * 2, (one(t.as_py()) for t in texts))
 
     return docs.select("doc_id", run("text").alias("p")).select("doc_id", "p.*")
