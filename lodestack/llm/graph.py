@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import save, small
 
 
+#: Rows of single longs (band keys with company) up to which they are broadcast: 16 MB.
+KEY_ROWS = 2_000_000
+
+
 def buckets(keys: DataFrame) -> DataFrame:
     """Members ``(key, id)`` of all buckets with two or more different ids.
 
@@ -21,7 +25,7 @@ def buckets(keys: DataFrame) -> DataFrame:
     rows = keys.select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     shared = save(shared, "shared")
-    return rows.join(small(shared), "key", "left_semi").distinct()
+    return rows.join(small(shared, KEY_ROWS), "key", "left_semi").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -86,8 +90,7 @@ def _unsettled(tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """
     c = (100 - percent) / (100 + percent)
     at = tested.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-    at = at.join(roots.select(F.col("id").alias("h"), F.col("root").alias("rh")), "h", "left").withColumn("ch", F.coalesce("rh", "h")).drop("rh")
-    open_ = at.where("c <> ch").select("h").distinct()
+    open_ = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
     at = at.join(open_, "h", "left_semi").withColumn("d", F.size("diff"))
     over = F.col("d") - c * (F.col("n") + F.col("nh"))
     tau = F.when(F.col("linked"), (1 - c) / 2 * F.col("d")).otherwise((over + (1 - c)) / 2)
@@ -97,14 +100,15 @@ def _unsettled(tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     tokens = at.select("h", "id", F.explode("diff").alias("t"))
     often = tokens.groupBy("h", "t").agg(F.count("*").alias("f")).where("f > 1")
     shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
-    s = F.size("ts")
-    rows = at.drop("diff").join(shared, ["h", "id"]).withColumn("s", s).where("s >= tau")
-    rows = rows.withColumn("t", F.explode(F.transform(F.slice("ts", 1, F.col("s") - F.col("tau") + 1), lambda x: x["t"]))).drop("ts", "tau")
-    rows = save(rows, "prefixes")
-    x = rows.select("h", "t", *[F.col(k).alias(f"{k}a") for k in ("id", "c", "linked", "n", "d", "s")])
-    y = rows.select("h", "t", *[F.col(k).alias(f"{k}b") for k in ("id", "c", "linked", "n", "d", "s")])
+    rows = at.drop("diff").join(shared, ["h", "id"]).withColumn("s", F.size("ts")).where("s >= tau")
+    rows = rows.withColumn("first", F.transform(F.slice("ts", 1, F.greatest(F.lit(0), F.col("s") - F.col("tau") + 1)), lambda x: x["t"]))
+    rows = save(rows.select("h", "id", "c", "linked", "n", "d", "s", "first", F.posexplode("first").alias("at", "t")), "prefixes")
+    x, y = (rows.select("h", "t", *[F.col(k).alias(k + side) for k in ("id", "c", "linked", "n", "d", "s", "at", "first")]) for side in "ab")
     need = (F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - 1e-9
-    met = x.join(y, ["h", "t"]).where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb")) & (need <= F.least("sa", "sb")))
+    # a pair counts at the first token that both prefixes have, from which on all tokens in common come
+    apart = (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb"))
+    most = F.least(F.col("sa") - F.col("ata"), F.col("sb") - F.col("atb"))
+    met = x.join(y, ["h", "t"]).where(apart & (need <= most) & (F.get(F.array_intersect("firsta", "firstb"), F.lit(0)) == F.col("t")))
     return met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
 
 

@@ -7,7 +7,7 @@ null last, then text digest, then line number), all others go. Lines without a w
 
 Signature: one random permutation of the shingles (their 64-bit hashes, sorted in a circle). Band j is the ``ROWS``
 hashes that follow the j-th of ``BANDS`` fixed points, so one sort gives all bands. Two lines of similarity 0.8 share a
-band with 1 - (1 - 0.8^3)^12 = 0.9998, of 0.9 with 1 - 2e-7. A line is named by its 64-bit hash.
+band with 1 - (1 - 0.8^3)^10 = 0.9992, of 0.9 with 1 - 2e-6. A line is named by its 64-bit hash.
 
 Cases: null and empty texts hold no line and stay as they are; repeated rows (same ``doc_id`` and text) are one row;
 equal lines inside one text are duplicates too; an empty table gives an empty result; other columns are carried.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import save, small, text_key
 from .graph import buckets, link
 
-SHINGLE, ROWS, BANDS, PERCENT = 12, 3, 12, 80
+SHINGLE, ROWS, BANDS, PERCENT = 12, 3, 10, 80
 
 _POINTS = [-(2**63) + (2 * j + 1) * 2**63 // BANDS for j in range(BANDS)]
 
@@ -33,7 +33,7 @@ def _normal(line: Column) -> Column:
 def _shingles(line: Column) -> Column:
     """Distinct 64-bit hashes of the character shingles that start at words."""
     found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^\x20\x09-\x0D].{{0,{SHINGLE - 1}}}))[^\x20\x09-\x0D]+"), F.lit(1))
-    return F.transform(F.array_distinct(found), lambda s: F.xxhash64(s))
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
 def _bands(ring: Column, marked: Column) -> Column:
