@@ -103,6 +103,22 @@ def combined(first: DataFrame, second: DataFrame, judgments: DataFrame, weight:
     return evaluate.average_precision(rank.fuse(first, second, given), judgments)
 
 
+def reranked_map(results: DataFrame, histogram: DataFrame, judgments: DataFrame, m: int, similarity: str = "cosine", norm: str = "raw") -> DataFrame:
+    """Mean average precision after the first m results are put in order of their histograms' distance to the query's.
+
+    ``histogram(key, term, tf)`` holds documents and queries; ``m`` 0 leaves the results as they are.
+    """
+    head = results.where(F.col("rank") <= m).select("query", "doc")
+    distances = rank.histogram_distance(head, histogram.withColumnRenamed("key", "query"), histogram.withColumnRenamed("key", "doc"), similarity, norm)
+    return evaluate.mean_average_precision(evaluate.average_precision(rank.rerank_prefix(results, distances, m), judgments))
+
+
+def split_products(features: DataFrame, train: DataFrame, probe: DataFrame, key: str = "image_id") -> tuple[DataFrame, DataFrame]:
+    """Features of training images and of probe images, by membership."""
+    part = lambda names: features.join(names.select(key).distinct(), key, "left_semi")
+    return part(train), part(probe)
+
+
 def folds(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """Accuracy over all folds together: ``results(fold, query, doc, rank)`` and ``expected(fold, query, doc)``."""
     name = lambda df: df.withColumn("query", F.struct("fold", "query"))

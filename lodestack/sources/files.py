@@ -23,6 +23,24 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return blobs(spark, path).where(texts.is_image(F.col("path")))
 
 
+def keyed_images(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, content, whole)`` of non-empty pictures, ``folder/name`` as key; ``whole`` is false if a file changed its size
+    between its listing and its reading."""
+    key = F.concat_ws("/", texts.parent(F.col("path")), texts.basename(F.col("path")))
+    return images(spark, path).where("length > 0").select(key.alias("key"), "content", (F.length("content") == F.col("length")).alias("whole"))
+
+
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """Pictures decoded by the image source; broken ones are dropped."""
+    return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+
+
+def xml_config(spark: SparkSession, path: str, root: str) -> dict:
+    """Attributes of an XML file's root element."""
+    row = spark.read.format("xml").option("rowTag", root).option("attributePrefix", "").option("inferSchema", False).load(path).first()
+    return row.asDict() if row else {}
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """``(path, name, folder, length)`` of all files, without reading them."""
     return blobs(spark, path).select("path", texts.basename(F.col("path")).alias("name"), texts.parent(F.col("path")).alias("folder"), "length")

@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from lodestack.operators import evaluate
 from lodestack.plans import instrument, pipelines
 from lodestack.sources import extract, files, sinks
 from lodestack.streaming import snapshots
@@ -25,6 +26,16 @@ def test_blobs_and_features(spark, tmp_path):
     assert bad.count() == 0
 
 
+def test_keyed_images_and_xml(spark, tmp_path):
+    put(tmp_path / "a" / "x.jpg", "abc")
+    put(tmp_path / "a" / "empty.jpg", "")
+    put(tmp_path / "a" / "y.jpg~", "no")
+    assert [(r.key, bytes(r.content), r.whole) for r in files.keyed_images(spark, str(tmp_path)).collect()] == [("a/x.jpg", b"abc", True)]
+    assert files.decoded(spark, str(tmp_path / "a")).count() == 0
+    put(tmp_path / "c.xml", '<conf terms="t" clusterNum="4"/>')
+    assert files.xml_config(spark, str(tmp_path / "c.xml"), "conf") == {"terms": "t", "clusterNum": "4"}
+
+
 def test_tar(spark, tmp_path):
     with tarfile.open(tmp_path / "t.tar", "w") as tar:
         info = tarfile.TarInfo("d/one.jpg")
@@ -129,4 +140,9 @@ def test_end_to_end(spark):
     grid = pipelines.grid(("kmeans",), ((2, 2),), (1e-3,), ("first",))
     assert pipelines.sweep(df, grid, "image_id", "id", queries, judgments).count() == 1
     results = out["results"]
+    h = spark.createDataFrame([(i, str(i % 3), 1) for i in range(18)], "key long, term string, tf long")
+    assert pipelines.reranked_map(results, h, judgments, 0).first()["map"] == evaluate.mean_average_precision(out["ap"]).first()["map"]
+    assert pipelines.reranked_map(results, h, judgments, 5).first()["n_queries"] == 2
+    train, probe = pipelines.split_products(df, queries, queries.limit(0))
+    assert train.count() == 10 and probe.count() == 0
     assert pipelines.combined(results, results, judgments).count() == 2
