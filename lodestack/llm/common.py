@@ -50,7 +50,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a saved frame for broadcast if its counted rows are within ``limit``; beyond, the join shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def words(text: Column) -> Column:

@@ -17,15 +17,15 @@ KEY_ROWS = 2_000_000
 
 
 def buckets(keys: DataFrame) -> DataFrame:
-    """Members ``(key, id)`` of all buckets with two or more different ids.
+    """Members ``(key, id, k)`` of all buckets with two or more different ids; ``k``: the bucket's rows, copies counted.
 
     ``keys(id, keys array<long>)`` has a row for each item or copy of an item. The minimum and maximum id of a bucket
     come from a partial aggregate, so a hot bucket costs a row for each task.
     """
     rows = keys.select("id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", "k")
     shared = save(shared, "shared")
-    return rows.join(small(shared, KEY_ROWS), "key", "left_semi").distinct()
+    return rows.join(small(shared, KEY_ROWS), "key").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -49,12 +49,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = save(e, "edges")
-    seen = None
-    while True:
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen or not state[0]:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        seen = state
+    # done when all components are stars around their smallest id: no end of an edge is the start of another, and no
+    # node has two edges up
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -64,6 +61,12 @@ def components(edges: DataFrame) -> DataFrame:
             near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct(),
             "edges",
         )
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def _stars(e: DataFrame) -> bool:
+    ends = e.select("u").unionByName(e.select(F.col("v").alias("u")).distinct())
+    return ends.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,14 +118,13 @@ def _unsettled(tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(id, root)`` of the components that verified links form; ids without a link, and roots, are left out.
 
-    ``members(key, id)`` are the buckets, ``sets(id, items)`` the full sets of all members. Every bucket has a hub, the
+    ``members(key, id, k)`` are the buckets, ``sets(id, items)`` the full sets of all members. Every bucket has a hub, the
     member that shares most buckets with others, and each member is compared exactly with its hubs. Pairs of members
     that are then still in different components are compared if their differences from the hub leave it possible
     (``_unsettled``), so no candidate pair is lost, and a group around its hub costs one comparison a member.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("k"))
-    degrees = members.join(sizes, "key").groupBy("id").agg(F.sum("k").alias("degree"))
-    ranked = save(members.join(degrees, "id"), "ranked")
+    degrees = members.groupBy("id").agg(F.sum("k").alias("degree"))
+    ranked = save(members.select("key", "id").join(degrees, "id"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub")).select("key", F.col("hub.id").alias("h"))
     pairs = ranked.join(hubs, "key").where("id <> h").select("h", "id").distinct()
     tested = save(_differences(pairs, sets, percent), "tested")

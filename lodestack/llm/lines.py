@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, small, text_key
-from .graph import buckets, link
+from .graph import KEY_ROWS, buckets, link
 
 SHINGLE, ROWS, BANDS, PERCENT = 12, 3, 10, 80
 
@@ -67,22 +67,27 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = save(_signatures(docs), "lines")
     members = save(buckets(lines.select("id", "keys")), "members")
     wanted = save(members.select("id").distinct(), "wanted")
-    sets = (
-        _lines(docs)
-        .withColumn("id", F.xxhash64("line"))
-        .join(small(wanted), "id", "left_semi")
-        .groupBy("id")
-        .agg(F.min("line").alias("line"))
-        .select("id", _shingles(F.col("line")).alias("items"))
-    )
-    roots = save(link(members, save(sets, "sets"), PERCENT), "roots")
     at = F.struct(F.col("_ls_id").isNull().alias("n"), F.col("_ls_id").alias("i"), F.col("_ls_th").alias("t"), F.col("line_no").alias("l"))
+    spots = lines.select("_ls_id", "_ls_th", "line_no", "id").join(small(wanted), "id", "left_semi").groupBy("id").agg(F.min(at).alias("at"))
+    spots = spots.groupBy(F.col("at.i").alias("i"), F.col("at.t").alias("t")).agg(F.collect_list(F.struct("at.l", "id")).alias("spots"))
+    roots = save(link(members, save(_line_sets(docs, save(spots, "spots")), "sets"), PERCENT), "roots")
     placed = lines.select("_ls_id", "_ls_th", "line_no", "id").join(small(roots), "id", "left").select("_ls_id", "_ls_th", "line_no", F.coalesce("root", "id").alias("c"))
-    first = placed.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("c", "first")
+    many = save(placed.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c"), "many")
+    placed = placed.join(small(many, KEY_ROWS), "c", "left_semi")
+    first = placed.groupBy("c").agg(F.min(at).alias("first"))
     gone = placed.join(first, "c").where(~(F.col("first.i").eqNullSafe(F.col("_ls_id")) & (F.col("first.t") == F.col("_ls_th")) & (F.col("first.l") == F.col("line_no"))))
     return gone.groupBy("_ls_id", "_ls_th").agg(F.collect_set("line_no").alias("gone"))
 
 
+def _line_sets(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """``(id, items)``: the shingles of lines, each read at one place: ``spots(i, t, spots array<struct<l, id>>)``."""
+    keyed = docs.select(F.col("doc_id").alias("_ls_id"), text_key(F.col("text")).alias("_ls_th"), "text")
+    held = keyed.join(small(spots), keyed["_ls_id"].eqNullSafe(F.col("i")) & (keyed["_ls_th"] == F.col("t")))
+    cut = held.select("spots", F.split("text", "\n").alias("cut"))
+    read = cut.select(F.explode(F.transform("spots", lambda s: F.struct(s["id"], F.get("cut", s["l"]).alias("line")))).alias("s"))
+    return read.select("s.id", _shingles(_normal(F.col("s.line"))).alias("items")).dropDuplicates(["id"])
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate lines taken out of ``text``, and ``_ls_gone``: how many went (0: unchanged)."""
     gone = save(duplicate_lines(docs), "gone")

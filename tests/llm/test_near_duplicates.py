@@ -116,7 +116,7 @@ def test_links_of_a_dense_family(spark):
         sets += [s, (s - {min(s)}) | {77}]
     n = len(sets)
     expected = roots(n, [(a, b) for a in range(n) for b in range(a) if jaccard(sets[a], sets[b])])
-    members = spark.createDataFrame([(1, i) for i in range(n)], "key long, id long")
+    members = spark.createDataFrame([(1, i, n) for i in range(n)], "key long, id long, k long")
     items = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, items array<long>")
     found = {r.id: r.root for r in graph.link(members, items, 80).collect()}
     assert [found.get(i, i) for i in range(n)] == expected
