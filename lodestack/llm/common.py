@@ -5,6 +5,7 @@ Internal columns start with ``_ls_`` so that they never clash with columns of th
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -48,6 +49,18 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the actions inside; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a saved frame for broadcast if its counted rows are within ``limit``; beyond, the join shuffles."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -15,6 +15,9 @@ from .common import save, small
 #: Rows of single longs (band keys with company) up to which they are broadcast: 16 MB.
 KEY_ROWS = 2_000_000
 
+#: Members of a hub's group up to which they are compared with one another.
+FEW = 16
+
 
 def buckets(keys: DataFrame) -> DataFrame:
     """Members ``(key, id, k)`` of all buckets with two or more different ids; ``k``: the bucket's rows, copies counted.
@@ -82,37 +85,47 @@ def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("linked", F.size("diff") * (100 + percent) <= (F.col("n") + F.col("nh")) * (100 - percent))
 
 
-def _unsettled(tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of a hub's group that are in different components and that exact bounds can't rule out.
+def _unsettled(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between members of a hub's group that are in different components.
 
     Let D be a member's difference from the hub, n its size, c = (100 - percent) / (100 + percent). Two members are
-    linked just if |Da ^ Db| <= c (na + nb), that is if |Da & Db| >= t = (|Da| + |Db| - c (na + nb)) / 2. Members in
-    different components have t > 0, so they share a token of difference; and as t is at least tau for all partners
-    (unlinked to the hub: (|D| - c (n + nh) + (1 - c)) / 2; linked to it, so the partner isn't: (1 - c) |D| / 2), they
-    share one of the |D| - tau + 1 rarest. Tokens that no other member of the group has can't be shared.
+    linked just if |Da ^ Db| <= c (na + nb), that is if |Da & Db| >= t = (|Da| + |Db| - c (na + nb)) / 2.
+
+    In groups of up to ``FEW`` members that is computed for each pair. In larger ones pairs must share a rare token of
+    difference: members in different components have t > 0, and as t is at least tau for all partners (unlinked to the
+    hub: (|D| - c (n + nh) + (1 - c)) / 2; linked to it, so the partner isn't: (1 - c) |D| / 2), they share one of the
+    |D| - tau + 1 rarest. Tokens that no other member of the group has can't be shared.
     """
     c = (100 - percent) / (100 + percent)
     at = tested.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-    open_ = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    at = at.join(open_, "h", "left_semi").withColumn("d", F.size("diff"))
+    open_ = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", "k")
+    at = at.join(open_, "h").withColumn("d", F.size("diff"))
     over = F.col("d") - c * (F.col("n") + F.col("nh"))
     tau = F.when(F.col("linked"), (1 - c) / 2 * F.col("d")).otherwise((over + (1 - c)) / 2)
     at = at.withColumn("tau", F.greatest(F.lit(1), F.ceil(tau - 1e-9)).cast("int"))
-    at = save(at.select("h", "id", "c", "linked", "n", "d", "tau", "diff"), "diffs")
+    at = save(at.select("h", "k", "id", "c", "linked", "n", "d", "tau", "diff"), "diffs")
+    need = (F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - 1e-9
+    apart = (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb"))
+    side = lambda rows, s, *more: rows.select("h", *more, *[F.col(k).alias(k + s) for k in ("id", "c", "linked", "n", "d")])
 
-    tokens = at.select("h", "id", F.explode("diff").alias("t"))
+    little = at.where(F.col("k") <= FEW)
+    x, y = (side(little, s, F.col("diff").alias(f"diff{s}")) for s in "ab")
+    pairs = x.join(y, "h").where(apart & (need <= F.least("da", "db")) & (F.size(F.array_intersect("diffa", "diffb")) >= need))
+    direct = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+    large = at.where(F.col("k") > FEW)
+    tokens = large.select("h", "id", F.explode("diff").alias("t"))
     often = tokens.groupBy("h", "t").agg(F.count("*").alias("f")).where("f > 1")
     shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
-    rows = at.drop("diff").join(shared, ["h", "id"]).withColumn("s", F.size("ts")).where("s >= tau")
+    rows = large.drop("diff").join(shared, ["h", "id"]).withColumn("s", F.size("ts")).where("s >= tau")
     rows = rows.withColumn("first", F.transform(F.slice("ts", 1, F.greatest(F.lit(0), F.col("s") - F.col("tau") + 1)), lambda x: x["t"]))
     rows = save(rows.select("h", "id", "c", "linked", "n", "d", "s", "first", F.posexplode("first").alias("at", "t")), "prefixes")
-    x, y = (rows.select("h", "t", *[F.col(k).alias(k + side) for k in ("id", "c", "linked", "n", "d", "s", "at", "first")]) for side in "ab")
-    need = (F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - 1e-9
+    x, y = (side(rows, s, "t", *[F.col(k).alias(k + s) for k in ("s", "at", "first")]) for s in "ab")
     # a pair counts at the first token that both prefixes have, from which on all tokens in common come
-    apart = (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb"))
     most = F.least(F.col("sa") - F.col("ata"), F.col("sb") - F.col("atb"))
     met = x.join(y, ["h", "t"]).where(apart & (need <= most) & (F.get(F.array_intersect("firsta", "firstb"), F.lit(0)) == F.col("t")))
-    return met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    met = verify(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), sets, percent).where("linked")
+    return direct.unionByName(met.select("a", "b"))
 
 
 def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +143,7 @@ def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tested = save(_differences(pairs, sets, percent), "tested")
     links = tested.where("linked").select(F.col("h").alias("a"), F.col("id").alias("b"))
     roots = components(links)
-    more = save(verify(_unsettled(tested, roots, percent), sets, percent).where("linked").select("a", "b"), "more")
+    more = save(_unsettled(tested, roots, sets, percent).distinct(), "more")
     if more.isEmpty():
         return roots
     return components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))

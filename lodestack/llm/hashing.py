@@ -14,7 +14,7 @@ _INVERSE = pow(_ODD, -1, 2**64)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Bytes that are hashed together; a longer word or text only makes one block longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import matching, save, small, text_key
+from .common import arrow_batches, matching, save, small, text_key
 from .graph import buckets, link
 
 T, ROWS, BANDS = 336, 7, 48
 PERCENT = 80
 
+#: Offers that are made at once, and rows of an Arrow batch: both bound a worker's memory.
+ROUND_ITEMS, BATCH_ROWS = 20_000, 500
+
 _SEED = 0xD1B54A32D192ED03
 
 
@@ -39,21 +42,23 @@ def sketch(items: np.ndarray, at: np.ndarray) -> np.ndarray:
     rows = len(at) - 1
     out = np.full((rows, T), 2**64 - 1, np.uint64)
     n = np.diff(at)
-    open_ = np.flatnonzero(n)
-    high = np.uint64(53)  # a coordinate is the round in its upper bits and the value below, so the smallest round wins
-    for turn in range(2 * T):
-        if not len(open_):
-            break
+    open_, turn, step = np.flatnonzero(n), 0, 1
+    # a coordinate is the round in its upper bits and the value below, so the earliest offer wins and rounds may be
+    # taken several at a time
+    while turn < 2 * T and len(open_):
         take = items if len(open_) == rows else np.concatenate([items[at[r] : at[r + 1]] for r in open_])
-        row = np.repeat(open_, n[open_])
-        mixed = hashing.mix(take + np.uint64(_SEED * (turn + 1) & (2**64 - 1)))
-        value = np.uint64(turn % 1024) << high | mixed >> np.uint64(11)
+        row = np.repeat(open_, n[open_])[None, :]
+        turns = np.arange(turn, min(turn + step, 2 * T if turn >= T else T), dtype=np.uint64)[:, None]
+        mixed = hashing.mix(take[None, :] + np.uint64(_SEED) * (turns + np.uint64(1)))
+        value = turns << np.uint64(53) | mixed >> np.uint64(11)
         if turn < T:
-            place = hashing.mix(mixed ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(T)
-            np.minimum.at(out.reshape(-1), row * T + place.astype(np.int64), value)
+            place = (hashing.mix(mixed ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(T)).astype(np.int64)
         else:
-            np.minimum.at(out[:, turn - T], row, value)
+            place = (turns.astype(np.int64) - T) + np.zeros_like(row)
+        np.minimum.at(out.reshape(-1), (row * T + place).reshape(-1), value.reshape(-1))
+        turn += len(turns)
         open_ = open_[(out[open_] == np.uint64(2**64 - 1)).any(axis=1)]
+        step = max(1, min(64, ROUND_ITEMS // max(1, int(n[open_].sum()))))
     return out
 
 
@@ -120,7 +125,8 @@ def groups(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFram
     rows: ``_ls_id, _ls_th, n, d1, d2``. classes: ``d1, d2, group_id`` (the group's smallest doc_id), ``first`` (the
     group's first row: struct of null flag, doc_id and text digest).
     """
-    rows = save(sketches(docs, size), "sketches")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        rows = save(sketches(docs, size), "sketches")
     at = F.struct(F.col("_ls_id").isNull().alias("n"), F.col("_ls_id").alias("i"), F.col("_ls_th").alias("t"))
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_ls_id").alias("low"), F.min(at).alias("first"), F.min("_ls_th").alias("th"))
     classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -128,7 +134,9 @@ def groups(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFram
     keys = rows.where("n > 0").select("d1", "d2", "keys").dropDuplicates(["d1", "d2"]).join(named, ["d1", "d2"])
     members = save(buckets(save(keys.select("id", "keys"), "keys")), "members")
     wanted = members.select("id").distinct().join(classes.select("id", "th"), "id")
-    sets = save(_class_sets(docs, save(wanted, "wanted"), size), "sets")
+    wanted = save(wanted, "wanted")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        sets = save(_class_sets(docs, wanted, size), "sets")
     roots = save(link(members, sets, percent), "roots")
     linked = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = linked.groupBy("root").agg(F.min("low").alias("group_id"), F.min("first").alias("group_first"))
