@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import held_out
 
-BINS, RANK, SAMPLE, NEIGHBOURS, BLOCK_ROWS = 4096, 48, 3000, 15, 256
+BINS, RANK, SAMPLE, NEIGHBOURS, BLOCK_ROWS = 2048, 48, 2400, 15, 256
 EXTRA = 5
 #: Strength of the sample's own share in a vote; characters of a sample row's text that are learned from.
 PULL, LEARN_CHARS = 0.1, 20000
@@ -85,6 +85,15 @@ def _line_repeats(data: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarr
     return _repeats(lines, np.searchsorted(starts, at))
 
 
+def _right_vectors(x: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors by subspace iteration from fixed random vectors; memory is a few times ``x``."""
+    q = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
+    for _ in range(6):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ v.T)[:, :rank]).astype(np.float32)
+
+
 class Space:
     """Term weights, latent basis and the labelled vectors."""
 
@@ -96,8 +105,7 @@ class Space:
             self.idf = np.log1p(len(raw) / (1.0 + (raw > 0).sum(axis=0))).astype(np.float32)
             self.idf[BINS:] = 4 * self.idf.max()
             weighted = self._weigh(raw)
-            values, vectors = np.linalg.eigh(weighted.T @ weighted)
-            self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :RANK]).astype(np.float32)
+            self.basis = _right_vectors(weighted, RANK)
             self.vectors = self._unit(weighted @ self.basis)
 
     @staticmethod
