@@ -26,8 +26,13 @@ SHINGLE, ROWS, BANDS, PERCENT = 12, 3, 10, 80
 _POINTS = [-(2**63) + (2 * j + 1) * 2**63 // BANDS for j in range(BANDS)]
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+def _cut(text: Column) -> Column:
+    """All lines of a text, in lower case; trimming is left to ``_trimmed``."""
+    return F.split(F.lower(text), "\n")
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
 
 
 def _shingles(line: Column) -> Column:
@@ -39,13 +44,13 @@ def _shingles(line: Column) -> Column:
 def _bands(ring: Column, marked: Column) -> Column:
     """Band keys from the sorted hashes, repeated at the end, and the same with the fixed points sorted in."""
     points = [F.slice(ring, (F.array_position(marked, F.lit(p)) - j).cast("int"), F.lit(ROWS)) for j, p in enumerate(_POINTS)]
-    return F.array_distinct(F.array(*[F.xxhash64(F.lit(j), p) for j, p in enumerate(points)]))
+    return F.array(*[F.xxhash64(F.lit(j), p) for j, p in enumerate(points)])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``(_ls_id, _ls_th, line_no, line)`` of every line with a word, normalised."""
-    cut = docs.select(F.col("doc_id").alias("_ls_id"), text_key(F.col("text")).alias("_ls_th"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return cut.select("_ls_id", "_ls_th", "line_no", _normal(F.col("raw")).alias("line")).where("line <> ''")
+    cut = docs.select(F.col("doc_id").alias("_ls_id"), text_key(F.col("text")).alias("_ls_th"), F.posexplode(_cut(F.col("text"))).alias("line_no", "raw"))
+    return cut.select("_ls_id", "_ls_th", "line_no", _trimmed(F.col("raw")).alias("line")).where("line <> ''")
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -83,9 +88,9 @@ def _line_sets(docs: DataFrame, spots: DataFrame) -> DataFrame:
     """``(id, items)``: the shingles of lines, each read at one place: ``spots(i, t, spots array<struct<l, id>>)``."""
     keyed = docs.select(F.col("doc_id").alias("_ls_id"), text_key(F.col("text")).alias("_ls_th"), "text")
     held = keyed.join(small(spots), keyed["_ls_id"].eqNullSafe(F.col("i")) & (keyed["_ls_th"] == F.col("t")))
-    cut = held.select("spots", F.split("text", "\n").alias("cut"))
+    cut = held.select("spots", _cut(F.col("text")).alias("cut"))
     read = cut.select(F.explode(F.transform("spots", lambda s: F.struct(s["id"], F.get("cut", s["l"]).alias("line")))).alias("s"))
-    return read.select("s.id", _shingles(_normal(F.col("s.line"))).alias("items")).dropDuplicates(["id"])
+    return read.select("s.id", _shingles(_trimmed(F.col("s.line"))).alias("items")).dropDuplicates(["id"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
