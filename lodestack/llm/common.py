@@ -39,11 +39,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark._ls_scratch
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def save(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    ``hashes``: the columns are mostly random numbers, which neither dictionaries nor compression make smaller.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodestack-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false") if hashes else df.write
+    writer.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,10 @@ def _cut(text: Column) -> Column:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    # trimming by a set of characters reads the whole line, so it is left to lines with other than spaces at an end
+    short = F.trim(line)
+    odd = [short.startswith(c) | short.endswith(c) for c in "\t\r\x0b\x0c"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.btrim(line, F.lit(" \t\r\x0b\x0c"))).otherwise(short)
 
 
 def _shingles(line: Column) -> Column:
@@ -69,7 +72,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``(_ls_id, _ls_th, gone array<int>)``: for each text, the 0-based numbers of its lines that go."""
-    lines = save(_signatures(docs), "lines")
+    lines = save(_signatures(docs), "lines", hashes=True)
     members = save(buckets(lines.select("id", "keys")), "members")
     wanted = save(members.select("id").distinct(), "wanted")
     at = F.struct(F.col("_ls_id").isNull().alias("n"), F.col("_ls_id").alias("i"), F.col("_ls_th").alias("t"), F.col("line_no").alias("l"))
