@@ -1,7 +1,8 @@
 """Operator 2: corpus-wide fuzzy line deduplication by MinHash.
 
 A line takes part if it holds a word. It is compared trimmed and in lower case, by the set of its character shingles:
-the ``SHINGLE`` characters from the start of each word on (fewer at the end of the line). Lines with a Jaccard
+the ``SHINGLE`` characters from the start of each word on (fewer at the end of the line), and in a word longer than that
+also those from each further character on up to the word's end, so every character is in a shingle. Lines with a Jaccard
 similarity of ``PERCENT`` or more are linked; of each component of links the first line stays (smallest ``doc_id``,
 null last, then text digest, then line number), all others go. Lines without a word always stay.
 
@@ -39,8 +40,9 @@ def _trimmed(line: Column) -> Column:
 
 
 def _shingles(line: Column) -> Column:
-    """Distinct 64-bit hashes of the character shingles that start at words."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^\x20\x09-\x0D].{{0,{SHINGLE - 1}}}))[^\x20\x09-\x0D]+"), F.lit(1))
+    """Distinct 64-bit hashes of the character shingles that start at words, and in long words at every character."""
+    x = r"[^\x20\x09-\x0D]"
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=({x}.{{0,{SHINGLE - 1}}})){x}(?:(?={x}{{{SHINGLE}}})|{x}*+)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 

@@ -168,6 +168,28 @@ def test_lines_stage(spark, docs):
     assert lines.stage(table.limit(0)).count() == 0
 
 
+def full_set(line):
+    """All shingles: from each word's start, and from each character whose shingle lies in one word."""
+    line = line.strip(" \t\r\x0b\x0c").lower()
+    out = set()
+    for m in WORD.finditer(line):
+        out |= {line[i : i + lines.SHINGLE] for i in range(m.start(), max(m.start(), m.end() - lines.SHINGLE) + 1)}
+    return out
+
+
+def test_lines_that_differ_late_in_long_words_stay(docs):
+    rng = random.Random(12)
+    urls = [f"https://www.{rng.choice('abcdefgh') * 3}{i}.org/page/{rng.randrange(10**9)}" for i in range(30)]
+    chinese = ["\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u4e00\u8d77\u53bb" + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(25)) for _ in range(20)]
+    near = [urls[0] + "x", urls[1], chinese[0] + "\u5427", chinese[1][:-1], "See https://example.org/a", "See https://example.com/zzz", "a/" * 40, "a/" * 41]
+    some = urls + chinese + near
+    sets = [full_set(x) for x in some]
+    up = roots(len(some), [(a, b) for a in range(len(some)) for b in range(a) if jaccard(sets[a], sets[b])])
+    found = {r.doc_id: r for r in lines.op2(docs(some).select("doc_id", "text")).collect()}
+    assert [found[i].kept for i in range(len(some))] == [r == i for i, r in enumerate(up)]
+    assert 50 <= sum(r == i for i, r in enumerate(up)) < len(some)
+
+
 def windows(text, n):
     w = WORD.findall(ascii_lower(text or ""))
     return [w[i : i + n] for i in range(len(w) - n + 1)]
