@@ -190,6 +190,15 @@ def test_lines_that_differ_late_in_long_words_stay(docs):
     assert 50 <= sum(r == i for i, r in enumerate(up)) < len(some)
 
 
+def test_short_lines_with_four_of_five_shingles_meet(docs):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(lines.SHINGLE))
+    some = [[word() for _ in range(5)] for _ in range(500)]
+    texts = [" ".join(w) for w in some] + [" ".join(w[:4]) for w in some]
+    found = lines.op2(docs(texts).select("doc_id", "text")).collect()
+    assert sorted(r.doc_id for r in found if not r.kept) == list(range(500, 1000))
+
+
 def windows(text, n):
     w = WORD.findall(ascii_lower(text or ""))
     return [w[i : i + n] for i in range(len(w) - n + 1)]
