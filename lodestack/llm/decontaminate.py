@@ -5,9 +5,10 @@ fewer words is one shingle of its own length). A shingle weighs the number of it
 occurs; the similarity of two texts is the weighted Jaccard similarity of their shingles, and a window matches an item
 from ``PERCENT`` on.
 
-1. Windows: a window that matches an item shares a shingle with it. So the benchmark's shingles are looked up in every
-   text, and each hit at an item's offset sets a window of that item's size that starts where the item would. Windows of
-   other places can't match and are not made. Windows with equal words are one window from here on.
+1. Windows: in a window that matches an item, shingles of items of that size weigh ``PERCENT`` of the item or more, in
+   whatever order they stand. So the benchmark's shingles are looked up in every text, and all windows of an item's size
+   with enough weight for the lightest item of that size are made. A text of fewer words than the item is one window.
+   Windows of other places can't match and are not made. Windows with equal words and one size are one from here on.
 2. Fingerprints: 128-bit SimHash of the weighted shingles, two longs.
 3. Multi-index: 16 blocks of 8 bits; items are indexed under each block's value and the 8 values one bit away. Two
    fingerprints within Hamming distance 31 have a block with at most one bit changed, so none is missed.
@@ -23,7 +24,7 @@ the pipeline's stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import matching, save, small, text_key, words
@@ -77,6 +78,27 @@ def similar(a: Column, b: Column) -> Column:
     return 100 * both >= PERCENT * (weight(a) + weight(b) - both)
 
 
+def _starts(hits: DataFrame) -> DataFrame:
+    """``(_ls_id, _ls_th, start, n)`` of all windows whose hits weigh ``PERCENT`` of ``t`` or more.
+
+    A hit at ``pos`` is in the windows that start from ``pos - (n - k)`` to ``pos``, so a running sum over the borders of
+    these ranges gives the weight at every start, with two rows a hit.
+    """
+    text = ["_ls_id", "_ls_th", "words", "n", "t"]
+    rises = hits.select(*text, (F.col("pos") - F.col("n") + F.col("k")).alias("at"), F.col("weight").alias("change"))
+    falls = hits.select(*text, (F.col("pos") + 1).alias("at"), (-F.col("weight")).alias("change"))
+    enough = hits.groupBy(*text).agg(F.sum("weight").alias("all")).where(100 * F.col("all") >= PERCENT * F.col("t"))
+    enough = enough.select(*[F.col(c).alias(f"e_{c}") for c in ("_ls_id", "_ls_th", "n")])
+    steps = rises.unionByName(falls)
+    on = steps["_ls_id"].eqNullSafe(F.col("e__ls_id")) & (steps["_ls_th"] == F.col("e__ls_th")) & (steps["n"] == F.col("e_n"))
+    steps = steps.join(enough, on, "left_semi").groupBy(*text, "at").agg(F.sum("change").alias("change"))
+    order = Window.partitionBy(*text).orderBy("at")
+    steps = steps.withColumns({"weight": F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("at").over(order)})
+    first, last = F.greatest("at", F.lit(0)), F.least(F.col("next") - 1, F.greatest(F.col("words") - F.col("n"), F.lit(0)))
+    held = steps.where((100 * F.col("weight") >= PERCENT * F.col("t")) & (first <= last))
+    return held.select("_ls_id", "_ls_th", F.explode(F.sequence(first, last)).alias("start"), "n")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(_ls_id, _ls_th, item_id)``: every text with every item that one of its windows matches."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("w")).where("size(w) > 0").distinct()
@@ -88,14 +110,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return empty
 
     keyed = docs.select(F.col("doc_id").alias("_ls_id"), text_key(F.col("text")).alias("_ls_th"), _words(F.col("text")).alias("w"))
+    weights = items.select("n", F.aggregate("shingles", F.lit(0), lambda t, x: t + F.char_length(x)).alias("t"))
+    least = save(weights.groupBy("n").agg(F.min("t").alias("t")), "least")
     starts = None
     for k in sizes:
-        wanted = items.where(F.col("k") == k).select("n", F.posexplode(_hashes(F.col("w"), k)).alias("offset", "h")).distinct()
+        wanted = items.where(F.col("k") == k).select("n", F.explode(F.arrays_zip(_hashes(F.col("w"), k).alias("h"), "shingles")).alias("x"))
+        wanted = wanted.select("n", "x.h", F.char_length("x.shingles").alias("weight")).groupBy("n", "h").agg(F.max("weight").alias("weight")).join(small(least), "n")
         found = keyed.select("_ls_id", "_ls_th", F.size("w").alias("words"), F.posexplode(_hashes(F.col("w"), k)).alias("pos", "h"))
-        hits = found.join(small(save(wanted, "shingles")), "h")
-        # a window that would pass an end of the text is moved inside
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("words") - F.col("n")))
-        part = hits.where("words >= n").select("_ls_id", "_ls_th", start.alias("start"), "n").distinct()
+        hits = found.join(small(save(wanted, "shingles")), "h").select("_ls_id", "_ls_th", "words", "n", "t", "pos", "weight").distinct()
+        part = _starts(hits.withColumn("k", F.lit(k)))
         starts = part if starts is None else starts.unionByName(part)
     starts = save(starts.distinct(), "starts")
 
@@ -103,10 +126,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     holders = small(save(holders, "holders")).withColumnsRenamed({"_ls_id": "hid", "_ls_th": "hth"})
     full = docs.select(F.col("doc_id").alias("_ls_id"), text_key(F.col("text")).alias("_ls_th"), "text")
     full = full.join(holders, full["_ls_id"].eqNullSafe(F.col("hid")) & (full["_ls_th"] == F.col("hth")))
-    cut = full.select("_ls_id", "_ls_th", _words(F.col("text")).alias("w"), F.col("cuts")).select("_ls_id", "_ls_th", F.explode(F.transform("cuts", lambda c: F.slice("w", c["start"] + 1, c["n"]))).alias("w"))
-    windows = save(cut.withColumn("wid", F.xxhash64(F.array_join("w", " "))).distinct(), "windows")
+    cut = full.select("_ls_id", "_ls_th", _words(F.col("text")).alias("w"), F.col("cuts")).select("_ls_id", "_ls_th", F.explode(F.transform("cuts", lambda c: F.struct(F.slice("w", c["start"] + 1, c["n"]).alias("w"), c["n"].alias("n")))).alias("x"))
+    cut = cut.select("_ls_id", "_ls_th", "x.w", "x.n")
+    windows = save(cut.withColumn("wid", F.xxhash64(F.array_join("w", " "), "n")).distinct(), "windows")
 
-    contents = windows.groupBy("wid", "w").agg(F.lit(1).alias("one")).drop("one").withColumn("n", F.size("w"))
+    contents = windows.groupBy("wid", "w", "n").agg(F.lit(1).alias("one")).drop("one")
     contents = contents.withColumn("shingles", _shingles(F.col("w"), F.least("n", F.lit(SIZE)))).withColumn("print", fingerprint(F.col("shingles")))
     contents = save(contents.drop("w"), "contents")
     printed = save(items.withColumn("print", fingerprint(F.col("shingles"))), "prints")

@@ -243,6 +243,17 @@ def test_decontamination_against_all_windows(spark, docs):
     assert sorted(r.doc_id for r in clean.collect()) == [d for d in found if found[d].kept] and clean.columns == docs(texts).columns
 
 
+def test_decontamination_finds_other_orders_and_short_texts(spark, docs):
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"word{rng.randrange(10**5)}" for _ in range(n))
+    item, four = text(60).split(), text(4)
+    swapped = " ".join(item[30:] + item[:30])
+    texts = [text(40) + " " + swapped + " " + text(40), swapped, " ".join(item[:-1]), " ".join(item[:40]), text(9) + " " + " ".join(item[:-1]), four, text(200)]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, four), (3, text(30))], "item_id long, text string")
+    found = {r.doc_id: r.items for r in decontaminate.op6(docs(texts), benchmark).collect()}
+    assert [found[i] for i in range(len(texts))] == ["1", "1", "1", "", "1", "2", ""]
+
+
 def test_decontamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.kept for r in decontaminate.op6(docs(["a b", None]), none).collect()] == [True, True]
