@@ -1,12 +1,15 @@
 """Linking near-duplicates: exact verification of banding candidates and distributed connected components.
 
 Everything here is DataFrame code. Buckets are never expanded into all their pairs: a bucket's members are compared
-with its hub, and only members that this leaves apart, and that exact bounds do not keep apart, with one another.
+with its hub, then those left apart with a few pivots, and only members of different components that exact bounds do
+not keep apart with one another.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, small
@@ -18,30 +21,27 @@ KEY_ROWS = 2_000_000
 #: Members of a hub's group up to which they are compared with one another.
 FEW = 16
 
+#: Pivots that each large group gets in a round, and rounds.
+PIVOTS, ROUNDS = 4, 4
+
 
 def buckets(keys: DataFrame) -> DataFrame:
-    """Members ``(key, id, k)`` of all buckets with two or more different ids; ``k``: the bucket's rows, copies counted.
+    """Members ``(key, id, k)`` of all buckets with two or more different ids; ``k``: the bucket's members.
 
-    ``keys(id, keys array<long>)`` has a row for each item or copy of an item. The minimum and maximum id of a bucket
-    come from a partial aggregate, so a hot bucket costs a row for each task.
+    ``keys(id, keys array<long>)`` has a row for each item and no key twice in a row.
     """
     rows = keys.select("id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", "k")
-    shared = save(shared, "shared")
-    return rows.join(small(shared, KEY_ROWS), "key").distinct()
+    shared = save(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "shared")
+    return rows.join(small(shared, KEY_ROWS), "key")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs(a, b)`` with ``linked``: 100 * intersection >= percent * union, on the full sets ``(id, items)``."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .withColumn("both", both)
-        .select("a", "b", (100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).alias("linked"))
-    )
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """The linked ones of ``pairs(a, b)``: 100 * intersection >= percent * union, on the full sets ``items(sets.items)``."""
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("ra"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("rb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", items(F.col("ra")).alias("sa"), items(F.col("rb")).alias("sb"))
+    both = both.withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -72,20 +72,62 @@ def _stars(e: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
     """``pairs(h, id)`` compared exactly: ``linked``, set sizes ``nh`` and ``n``, and ``diff``, the tokens in one only.
 
     Tokens that the hub alone has are told from the others by their complement.
     """
-    left = sets.select(F.col("id").alias("h"), F.col("items").alias("sh"))
-    right = sets.select("id", F.col("items").alias("s"))
+    left = sets.select(F.col("id").alias("h"), F.col("items").alias("rh"))
+    right = sets.select("id", F.col("items").alias("r"))
+    both = pairs.join(left, "h").join(right, "id").select("h", "id", items(F.col("rh")).alias("sh"), items(F.col("r")).alias("s"))
     lacks = F.transform(F.array_except("sh", "s"), lambda x: F.bitwise_not(x))
-    both = pairs.join(left, "h").join(right, "id").withColumn("diff", F.concat(F.array_except("s", "sh"), lacks))
-    both = both.select("h", "id", F.size("sh").alias("nh"), F.size("s").alias("n"), "diff")
+    both = both.select("h", "id", F.size("sh").alias("nh"), F.size("s").alias("n"), F.concat(F.array_except("s", "sh"), lacks).alias("diff"))
     return both.withColumn("linked", F.size("diff") * (100 + percent) <= (F.col("n") + F.col("nh")) * (100 - percent))
 
 
-def _unsettled(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _placed(tested: DataFrame, roots: DataFrame) -> DataFrame:
+    """``tested`` with each member's component ``c``."""
+    return tested.join(small(roots, KEY_ROWS), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+
+
+def _open(at: DataFrame) -> DataFrame:
+    """``(h, k)`` of the hubs' groups that lie in two components or more, and the number of their members."""
+    found = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", "k")
+    return save(found, "open")
+
+
+def _pivoted(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
+    """``roots`` after up to ``ROUNDS`` rounds of pivots in the large groups, so that large clusters apart from a hub are one.
+
+    In each round a group's members outside its hub's component are compared with ``PIVOTS`` of them, drawn at random, so
+    a round costs so many comparisons a member, whatever the group's size. Rounds end when no large group is open.
+    """
+    for turn in range(ROUNDS):
+        at = _placed(tested.select("h", "id"), roots)
+        rest = at.join(small(_open(at).where(F.col("k") > FEW).select("h"), KEY_ROWS), "h")
+        hub = roots.select(F.col("id").alias("h"), F.col("root").alias("hr"))
+        rest = rest.join(small(hub, KEY_ROWS), "h", "left").where(F.col("c") != F.coalesce("hr", "h")).select("h", "id", "c")
+        rest = save(rest, "rest")
+        drawn = [F.min_by("id", F.xxhash64("id", F.lit(turn), F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)]
+        pivots = rest.groupBy("h").agg(F.count("*").alias("k"), *drawn).where(F.col("k") > 1)
+        pivots = pivots.select("h", F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)]))).alias("a"))
+        pivots = save(pivots, "pivots")
+        if pivots.isEmpty():
+            return roots
+        own = rest.select("h", F.col("id").alias("a"), F.col("c").alias("ca"))
+        pivots = save(pivots.join(own, ["h", "a"]), "pivots")
+        pairs = rest.join(small(pivots), "h").where((F.col("a") != F.col("id")) & (F.col("c") != F.col("ca")))
+        links = save(verify(pairs.select("a", F.col("id").alias("b")).distinct(), sets, percent, items), "links")
+        if not links.isEmpty():
+            roots = _joined(roots, links)
+    return roots
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return components(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+
+
+def _unsettled(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
     """Links ``(a, b)`` between members of a hub's group that are in different components.
 
     Let D be a member's difference from the hub, n its size, c = (100 - percent) / (100 + percent). Two members are
@@ -94,12 +136,11 @@ def _unsettled(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     In groups of up to ``FEW`` members that is computed for each pair. In larger ones pairs must share a rare token of
     difference: members in different components have t > 0, and as t is at least tau for all partners (unlinked to the
     hub: (|D| - c (n + nh) + (1 - c)) / 2; linked to it, so the partner isn't: (1 - c) |D| / 2), they share one of the
-    |D| - tau + 1 rarest. Tokens that no other member of the group has can't be shared.
+    |D| - tau + 1 rarest. Tokens that only members of one component have can't be shared by such a pair.
     """
     c = (100 - percent) / (100 + percent)
-    at = tested.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-    open_ = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", "k")
-    at = at.join(open_, "h").withColumn("d", F.size("diff"))
+    at = _placed(tested, roots)
+    at = at.join(small(_open(at), KEY_ROWS), "h").withColumn("d", F.size("diff"))
     over = F.col("d") - c * (F.col("n") + F.col("nh"))
     tau = F.when(F.col("linked"), (1 - c) / 2 * F.col("d")).otherwise((over + (1 - c)) / 2)
     at = at.withColumn("tau", F.greatest(F.lit(1), F.ceil(tau - 1e-9)).cast("int"))
@@ -114,8 +155,8 @@ def _unsettled(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     direct = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
     large = at.where(F.col("k") > FEW)
-    tokens = large.select("h", "id", F.explode("diff").alias("t"))
-    often = tokens.groupBy("h", "t").agg(F.count("*").alias("f")).where("f > 1")
+    tokens = large.select("h", "id", "c", F.explode("diff").alias("t"))
+    often = tokens.groupBy("h", "t").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "t", "f")
     shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
     rows = large.drop("diff").join(shared, ["h", "id"]).withColumn("s", F.size("ts")).where("s >= tau")
     rows = rows.withColumn("first", F.transform(F.slice("ts", 1, F.greatest(F.lit(0), F.col("s") - F.col("tau") + 1)), lambda x: x["t"]))
@@ -124,26 +165,25 @@ def _unsettled(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     # a pair counts at the first token that both prefixes have, from which on all tokens in common come
     most = F.least(F.col("sa") - F.col("ata"), F.col("sb") - F.col("atb"))
     met = x.join(y, ["h", "t"]).where(apart & (need <= most) & (F.get(F.array_intersect("firsta", "firstb"), F.lit(0)) == F.col("t")))
-    met = verify(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), sets, percent).where("linked")
-    return direct.unionByName(met.select("a", "b"))
+    met = verify(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), sets, percent, items)
+    return direct.unionByName(met)
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def link(members: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """``(id, root)`` of the components that verified links form; ids without a link, and roots, are left out.
 
-    ``members(key, id, k)`` are the buckets, ``sets(id, items)`` the full sets of all members. Every bucket has a hub, the
-    member that shares most buckets with others, and each member is compared exactly with its hubs. Pairs of members
+    ``members(key, id, k)`` are the buckets, ``sets(id, items)`` what the full sets of all members are made of by
+    ``items``. Every bucket has a hub, the member that shares most buckets with others, and each member is compared
+    exactly with its hubs. Clusters that this leaves apart are gathered around pivots (``_pivoted``). Pairs of members
     that are then still in different components are compared if their differences from the hub leave it possible
     (``_unsettled``), so no candidate pair is lost, and a group around its hub costs one comparison a member.
     """
     degrees = members.groupBy("id").agg(F.sum("k").alias("degree"))
     ranked = save(members.select("key", "id").join(degrees, "id"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub")).select("key", F.col("hub.id").alias("h"))
-    pairs = ranked.join(hubs, "key").where("id <> h").select("h", "id").distinct()
-    tested = save(_differences(pairs, sets, percent), "tested")
+    pairs = ranked.join(small(save(hubs, "hubs"), KEY_ROWS), "key").where("id <> h").select("h", "id").distinct()
+    tested = save(_differences(pairs, sets, percent, items), "tested")
     links = tested.where("linked").select(F.col("h").alias("a"), F.col("id").alias("b"))
-    roots = components(links)
-    more = save(_unsettled(tested, roots, sets, percent).distinct(), "more")
-    if more.isEmpty():
-        return roots
-    return components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    roots = _pivoted(tested, save(components(links), "roots"), sets, percent, items)
+    more = save(_unsettled(tested, roots, sets, percent, items).distinct(), "more")
+    return roots if more.isEmpty() else _joined(roots, more)
