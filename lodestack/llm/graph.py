@@ -19,10 +19,10 @@ from .common import save, small
 KEY_ROWS = 2_000_000
 
 #: Members of a hub's group up to which they are compared with one another.
-FEW = 16
+FEW = 64
 
-#: Pivots that each large group gets in a round, and rounds.
-PIVOTS, ROUNDS = 4, 4
+#: Members apart from their hub from which on a group gets pivots, how many in a round, and rounds.
+APART, PIVOTS, ROUNDS = 256, 4, 4
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -97,19 +97,19 @@ def _open(at: DataFrame) -> DataFrame:
 
 
 def _pivoted(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
-    """``roots`` after up to ``ROUNDS`` rounds of pivots in the large groups, so that large clusters apart from a hub are one.
+    """``roots`` after up to ``ROUNDS`` rounds of pivots, so that large clusters apart from their hub become one component.
 
-    In each round a group's members outside its hub's component are compared with ``PIVOTS`` of them, drawn at random, so
-    a round costs so many comparisons a member, whatever the group's size. Rounds end when no large group is open.
+    In each round, if more than ``APART`` of a group's members are outside its hub's component, they are compared with
+    ``PIVOTS`` of them, drawn at random: so many comparisons a member, whatever the group's size.
     """
     for turn in range(ROUNDS):
         at = _placed(tested.select("h", "id"), roots)
-        rest = at.join(small(_open(at).where(F.col("k") > FEW).select("h"), KEY_ROWS), "h")
+        rest = at.join(small(_open(at).where(F.col("k") > APART).select("h"), KEY_ROWS), "h")
         hub = roots.select(F.col("id").alias("h"), F.col("root").alias("hr"))
         rest = rest.join(small(hub, KEY_ROWS), "h", "left").where(F.col("c") != F.coalesce("hr", "h")).select("h", "id", "c")
         rest = save(rest, "rest")
         drawn = [F.min_by("id", F.xxhash64("id", F.lit(turn), F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)]
-        pivots = rest.groupBy("h").agg(F.count("*").alias("k"), *drawn).where(F.col("k") > 1)
+        pivots = rest.groupBy("h").agg(F.count("*").alias("k"), *drawn).where(F.col("k") > APART)
         pivots = pivots.select("h", F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)]))).alias("a"))
         pivots = save(pivots, "pivots")
         if pivots.isEmpty():

@@ -94,9 +94,11 @@ def _coordinates(lines: DataFrame, limit) -> DataFrame:
 
     Shingles are rows for a moment only, inside one stage: what is shuffled is a row for each class and task.
     """
+    # what is made of a whole line comes in a projection below the explosion, else it would be made for each shingle
     named = lines.select(*_name(F.col("line")), F.col("line").cast("binary").alias("b"))
-    rows = named.select("i1", "i2", "b", _windows(F.col("b")).alias("n"), F.explode(F.sequence(F.lit(1), _windows(F.col("b")))).alias("i"))
-    low = rows.select("i1", "i2", "n", "i", _hash(F.col("b"), F.col("i")).alias("h"), limit(F.col("n")).alias("most")).where("h <= most or i = 1")
+    named = named.select("i1", "i2", "b", _windows(F.col("b")).alias("n"), limit(_windows(F.col("b"))).alias("most"))
+    rows = named.select("i1", "i2", "n", "most", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    low = rows.select("i1", "i2", "n", "i", "most", _hash(F.col("b"), F.col("i")).alias("h")).where("h <= most or i = 1")
     low = low.withColumn("bin", F.when(F.col("h") <= F.col("most"), F.col("h").bitwiseAND(F.lit(BINS - 1))))
     mins = [F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
     return low.groupBy("i1", "i2", "n").agg(F.count_if(F.col("i") == 1).alias("copies"), *mins)

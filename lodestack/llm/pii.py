@@ -6,7 +6,9 @@ cues. From each anchor a deterministic parser looks only at the neighbouring cha
 * ``email``: the run of local characters to the left of an at-sign and the longest dotted name to its right;
 * ``ip`` and ``card``: the run of digits and separators around a digit, read from its left end;
 * ``phone``: from a plus sign to the last digit of its run;
-* ``secret`` (added): the value after a cue like ``password=``, and key ids that start with ``AKIA``;
+* ``secret`` (added): the value after a cue like ``password`` in any case and a sign of assignment, spaces and quotes
+  around it allowed (after a colon only a value in quotes or with a digit), after ``bearer``, and key ids that start with
+  ``AKIA``;
 * ``url`` (added): a URL that carries credentials, ``scheme://user:password@host``;
 * ``iban`` (added): two letters, two check digits and 11 to 30 characters that pass the mod 97 test.
 
@@ -14,8 +16,9 @@ Matches of a kind never overlap; a match that fails its test (parts over 255, Lu
 reading goes on after it. Spans are code points, end exclusive. The first four kinds give just what the patterns of
 ``BASE`` find from left to right.
 
-Cases: null texts are empty; empty texts have no spans; repeated rows are rows like others; the digest of no span is
-that of an empty string; an empty table gives an empty result.
+Cases: null texts are empty; empty texts have no spans; a text of any length is read once from left to right, in time
+proportional to its length; repeated rows are rows like others; the digest of no span is that of an empty string; an
+empty table gives an empty result; only ``doc_id`` and ``text`` are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -39,11 +42,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_VALUE = re.compile(r"[\"']?([^\s\"'<>,;]{4,})")
+_VALUE = re.compile(r"[\"'`]?[ \t]{0,8}(:=|=>|==?|:)[ \t]{0,8}([\"'`]?)([^\s\"'`<>,;]{4,})")
+_BEARER = re.compile(r"[ \t]{1,8}([A-Za-z0-9._~+/-]{16,}=*)")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _USERINFO = re.compile(r"://[^\s/@:]+:[^\s/@]+@[^\s<>\"']+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_CUES = ("password=", "password:", "passwd=", "secret=", "token=", "api_key=", "apikey=", "api-key:")
+_CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "secret_key", "private_key")
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -53,14 +58,34 @@ def _automaton() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     found.add_word("://", ("scheme", 3))
-    found.add_word("AKIA", ("key", 4))
+    found.add_word("akia", ("key", 4))
+    found.add_word("bearer", ("bearer", 6))
     for cue in _CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(cue)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
+def _secret(anchor: str, text: str, at: int, last: int) -> tuple[int, int] | None:
+    """Start and end of the secret that the anchor from ``at`` to ``last`` announces."""
+    if anchor == "key":
+        found = _KEY_ID.match(text, at)
+        return found and found.span()
+    if anchor == "bearer":
+        found = _BEARER.match(text, last + 1)
+        return found and found.span(1)
+    found = _VALUE.match(text, last + 1)
+    if not found or found[1] == ":" and not found[2] and not any(c in _DIGITS for c in found[3]):
+        return None
+    return found.span(3)
+
+
 _ANCHORS = _automaton()
 
 
@@ -83,7 +108,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind's index, end)`` of all personal data in a text, sorted."""
     out: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)  # where the next match of a kind may start
-    for last, (anchor, size) in _ANCHORS.iter(text):
+    for last, (anchor, size) in _ANCHORS.iter(lowered(text)):
         at = last - size + 1
         if anchor == "digit":
             if at >= done["ip"]:
@@ -122,11 +147,11 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             if found and start < at:
                 out.append((start, 5, found.end()))
                 done["url"] = found.end()
-        else:
-            found = (_KEY_ID.match(text, at) if anchor == "key" else _VALUE.match(text, last + 1)) if at >= done["secret"] else None
+        elif at >= done["secret"]:
+            found = _secret(anchor, text, at, last)
             if found:
-                out.append((found.start(found.lastindex or 0), 4, found.end()))
-                done["secret"] = found.end()
+                out.append((found[0], 4, found[1]))
+                done["secret"] = found[1]
     return sorted(out)
 
 
@@ -149,18 +174,20 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, counts of the base kinds, ``base_sha256`` of their spans, all ``spans``."""
+    """Per row: ``doc_id``, counts of the base kinds, ``base_sha256`` of their spans, all ``spans``, ``n_other`` spans of
+    the added kinds, ``has_pii`` if there is any span."""
 
-    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_other", "has_pii"]
 
     def one(text: str | None) -> tuple:
         found = spans(text or "")
         base = [x for x in found if x[1] < len(BASE)]
         kinds = [x[1] for x in base]
-        return (*(kinds.count(k) for k in range(len(BASE))), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found))
+        digest = hashlib.sha256(joined(base).encode()).hexdigest()
+        return (*(kinds.count(k) for k in range(len(BASE))), digest, joined(found), len(found) - len(base), bool(found))
 
-    @F.arrow_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string>")
+    @F.arrow_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,n_other:long,has_pii:boolean>")
     def run(texts: pa.Array) -> pa.Array:
-        return rows_of(names, [pa.int64()] * len(BASE) + [pa.string()] * 2, (one(t.as_py()) for t in texts))
+        return rows_of(names, [pa.int64()] * len(BASE) + [pa.string()] * 2 + [pa.int64(), pa.bool_()], (one(t.as_py()) for t in texts))
 
     return docs.select("doc_id", run("text").alias("p")).select("doc_id", "p.*")

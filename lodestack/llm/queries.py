@@ -144,7 +144,8 @@ ks AS (SELECT DISTINCT k FROM b),
 bg AS (SELECT item_id, n, k, unnest(range(0, n - k + 1)) AS o, unnest(list_transform(range(1, n - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g FROM b),
 dg AS (SELECT doc_id, len(w) AS words, k, unnest(range(0, len(w) - k + 1)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g
   FROM d, ks WHERE len(w) >= k),
-a AS (SELECT DISTINCT doc_id, n, dg.k, greatest(0, least(p - o, words - n)) AS s FROM dg JOIN (SELECT DISTINCT n, k, o, g FROM bg) x ON x.k = dg.k AND x.g = dg.g WHERE words >= n),
+a AS (SELECT DISTINCT doc_id, n, k, unnest(range(greatest(0, p - n + k), greatest(0, least(p, words - n)) + 1)) AS s
+  FROM (SELECT DISTINCT doc_id, n, dg.k, p, words FROM dg JOIN (SELECT DISTINCT n, k, g FROM bg) x ON x.k = dg.k AND x.g = dg.g)),
 wg AS (SELECT a.doc_id, a.n, a.s, dg.g, count(*) AS c FROM a JOIN dg ON dg.doc_id = a.doc_id AND dg.k = a.k AND dg.p BETWEEN a.s AND a.s + a.n - a.k GROUP BY ALL),
 ig AS (SELECT item_id, n, g, count(*) AS c FROM bg GROUP BY ALL),
 wt AS (SELECT doc_id, n, s, sum(c * length(g)) AS t FROM wg GROUP BY ALL),
@@ -165,9 +166,9 @@ q AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, un
 s AS (SELECT doc_id, source, unnest(l) AS line FROM l),
 n AS (SELECT doc_id, source, lower(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS line,
   len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS k FROM s),
-h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-f AS (SELECT source, line, count(DISTINCT doc_id) AS held FROM n GROUP BY ALL),
-o AS (SELECT f.source, line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE held > 100 AND held > 0.01 * docs),
+h AS (SELECT source, least(100, greatest(3, 0.01::DOUBLE * count(*))) AS most FROM (SELECT DISTINCT source, doc_id FROM documents) GROUP BY source),
+f AS (SELECT source, line, count(*) AS held FROM (SELECT DISTINCT source, line, doc_id FROM n) GROUP BY ALL),
+o AS (SELECT f.source, line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE held > most),
 z AS (SELECT doc_id, sum(k) AS gone FROM n JOIN o ON n.line = o.line AND n.source IS NOT DISTINCT FROM o.source GROUP BY doc_id),
 a AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

@@ -111,7 +111,7 @@ def test_links_of_a_dense_family(spark):
     """All members share one bucket: links between members that aren't linked to the hub are found too."""
     rng = random.Random(8)
     sets = []
-    for rate in (0.05, 0.1, 0.2, 0.3) * 12:
+    for rate in (0.05, 0.1, 0.2, 0.3) * 20:
         s = {t for t in range(60) if rng.random() > rate / 2} | {rng.randrange(10**6, 10**7) for _ in range(int(30 * rate))}
         sets += [s, (s - {min(s)}) | {77}]
     n = len(sets)
@@ -123,7 +123,7 @@ def test_links_of_a_dense_family(spark):
     assert len(set(expected)) > 2
 
 
-@pytest.mark.parametrize("k", [40, 400])
+@pytest.mark.parametrize("k", [400, 1600])
 def test_clusters_in_one_bucket(spark, k, monkeypatch):
     """Two clusters around centres of 60 % similarity: pairs that are compared at the end grow no faster than members."""
     rng = random.Random(k)
@@ -287,9 +287,18 @@ def test_decontamination_finds_other_orders_and_short_texts(spark, docs):
     item, four = text(60).split(), text(4)
     swapped = " ".join(item[30:] + item[:30])
     texts = [text(40) + " " + swapped + " " + text(40), swapped, " ".join(item[:-1]), " ".join(item[:40]), text(9) + " " + " ".join(item[:-1]), four, text(200)]
+    moved = " ".join(item[20:40] + item[:20] + item[40:])
+    edge = " ".join(item[:-1] + ["http://" + "x" * 60])
+    texts += [text(7) + " " + moved + " " + text(80), text(30) + " " + edge, " ".join([swapped] * 3)]
     benchmark = spark.createDataFrame([(1, " ".join(item)), (2, four), (3, text(30))], "item_id long, text string")
-    found = {r.doc_id: r.items for r in decontaminate.op6(docs(texts), benchmark).collect()}
-    assert [found[i] for i in range(len(texts))] == ["1", "1", "1", "", "1", "2", ""]
+    table = docs(texts).unionByName(docs(texts)).withColumns({c: F.lit("own") for c in ("wid", "w", "n", "k", "h", "item_id", "print", "items")})
+    found = decontaminate.op6(table, benchmark).collect()
+    assert len(found) == 2 * len(texts)
+    for r in found:
+        expected = [i for i, x in ((1, " ".join(item)), (2, four)) if any(similar(v, x.split()) for v in windows(texts[r.doc_id], len(x.split())) or [texts[r.doc_id].split()])]
+        assert r.items == ",".join(map(str, expected))
+    assert [next(r.items for r in found if r.doc_id == i) for i in range(9)] == ["1", "1", "1", "", "1", "2", "", "1", "1"]
+    assert decontaminate.stage(table, benchmark).columns == table.columns
 
 
 def test_decontamination_of_nothing(spark, docs):
@@ -299,9 +308,33 @@ def test_decontamination_of_nothing(spark, docs):
     assert decontaminate.op6(docs(["x"]).limit(0), some).count() == 0
 
 
+def distances(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, shingles array<string>")
+    p = [r.print for r in sorted(decontaminate.prints(rows, "key").collect(), key=lambda r: r.key)]
+    return [sum(bin((i ^ j) & (2**64 - 1)).count("1") for i, j in zip(p[0], x)) for x in p]
+
+
 def test_simhash_is_near_for_similar_texts(spark):
     a = [f"shingle number {i}" for i in range(60)]
-    rows = spark.createDataFrame([(a, a[3:] + ["x", "y", "z"], [f"other {i}" for i in range(60)])], "a array<string>, b array<string>, c array<string>")
-    p = rows.select(*[decontaminate.fingerprint(F.col(c)).alias(c) for c in "abc"]).first()
-    distance = lambda x, y: sum(bin((i ^ j) & (2**64 - 1)).count("1") for i, j in zip(x, y))
-    assert distance(p.a, p.a) == 0 and distance(p.a, p.b) < 31 < distance(p.a, p.c)
+    same, near, far = distances(spark, a, a[3:] + ["x", "y", "z"], [f"other {i}" for i in range(60)])
+    assert same == 0 and near <= decontaminate.RADIUS < far
+
+
+def test_simhash_of_a_heavy_shingle_and_of_repetitions(spark):
+    """Similarity 0.8 keeps within the radius if the weight that differs is one shingle's, or that of repetitions."""
+    a = [f"shingle number {i}" for i in range(60)]
+    weight = sum(map(len, a))
+    same, heavy, often = distances(spark, a, a + ["h" * (weight // 4)], a + [a[0]] * 15)
+    assert same == 0 and heavy <= decontaminate.RADIUS and often <= decontaminate.RADIUS
+
+
+def test_near_values_meet_within_the_radius(spark):
+    rng = random.Random(21)
+    a = [rng.getrandbits(128) for _ in range(200)]
+    b = [x ^ sum(1 << i for i in rng.sample(range(128), decontaminate.RADIUS)) for x in a]
+    c = [rng.getrandbits(128) for _ in range(200)]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rows = spark.createDataFrame([[[signed(v % 2**64), signed(v >> 64)] for v in vs] for vs in zip(a, b, c)], "a array<long>, b array<long>, c array<long>")
+    meet = lambda x, y: F.size(F.array_intersect(decontaminate._near(F.col(x), 2), decontaminate._near(F.col(y), 1))) > 0
+    found = rows.select(meet("a", "b").alias("near"), meet("a", "c").alias("far")).collect()
+    assert all(r.near for r in found) and sum(r.far for r in found) <= 40

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestack.llm import chat, language, licenses, pii, quality, quality_rules
 from lodestack.llm.license_texts import NOTICES
@@ -61,7 +62,67 @@ def test_pii_query(docs):
     for i, t in enumerate(texts):
         joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t or ""))
         assert found[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    assert [found[i].has_pii for i in range(5)] == [False, False, True, True, False] and found[3].n_other == len(kinds)
     assert pii.op3(docs(texts).limit(0)).count() == 0
+    twice = docs(texts).unionByName(docs(texts)).withColumns({"spans": F.lit(1), "p": F.lit(2)})
+    assert sorted(map(str, pii.op3(twice).collect())) == sorted(2 * [str(r) for r in found.values()])
+
+
+SECRET = re.compile(
+    r"(?:(?i:password|passwd|passphrase|pwd|secret|token|api_key|apikey|api-key|access_key|secret_key|private_key)"
+    r"[\"'`]?[ \t]{0,8}(?:(?::=|=>|==?)[ \t]{0,8}[\"'`]?|:[ \t]{0,8}(?=[\"'`]|[^\s\"'`<>,;0-9]*[0-9])[\"'`]?)([^\s\"'`<>,;]{4,})"
+    r"|(?i:bearer)[ \t]{1,8}([A-Za-z0-9._~+/-]{16,}=*)|(AKIA[0-9A-Z]{16})(?![0-9A-Za-z]))"
+)
+URL = re.compile(r"([^\W_]|[+.-])+://[^\s/@:]+:[^\s/@]+@[^\s<>\"']+")
+IBAN = re.compile(r"(?<![^\W_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
+def added_spans(text):
+    """The added kinds by patterns over the whole text."""
+    out = [(m.start(m.lastindex), 4, m.end()) for m in SECRET.finditer(text)] + [(m.start(), 5, m.end()) for m in URL.finditer(text)]
+    for m in IBAN.finditer(text):
+        code = m[0].replace(" ", "")
+        if 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            out.append((m.start(), 6, m.end()))
+    return sorted(out)
+
+
+def iban(rng):
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+    code = f"DE{check:02d}{body}"
+    return " ".join(code[i : i + 4] for i in range(0, 22, 4)) if rng.random() < 0.5 else code
+
+
+def test_added_spans_are_those_of_the_patterns():
+    rng = random.Random(31)
+    value = lambda n: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(n))
+    quote = lambda: rng.choice(["", "", '"', "'", "`"])
+
+    def planted():
+        cue = rng.choice(["token", "TOKEN", "Password", "api_key", "PaSsWd", "my_secret", "Pwd"])
+        q, r = quote(), quote()
+        return rng.choice(
+            [
+                f"{q}{cue}{q}{rng.choice(['=', ':', ' = ', ': ', ':=', ' => ', '   ==  '])}{r}{value(rng.randrange(2, 41))}{r}",
+                f"Authorization: Bearer {value(rng.randrange(10, 40))}",
+                f"AKIA{value(16).upper()}{rng.choice(['', 'x'])}",
+                f"https://me{value(2)}:{value(5)}@host.{value(3)}/x",
+                iban(rng),
+                "the token is here: no secret at all, and token: nothing",
+                "\u0130 token=abcd",
+            ]
+        )
+
+    seen = collections.Counter()
+    for _ in range(3000):
+        parts = [planted() if rng.random() < 0.4 else rng.choice(["word", "ünd", "12", "a@b", "x=", "://"]) for _ in range(rng.randrange(1, 9))]
+        text = rng.choice([" ", ", ", "\n"]).join(parts)
+        got, expected = [x for x in pii.spans(text) if x[1] >= 4], added_spans(text)
+        assert got == expected, text
+        seen.update(k for _, k, _ in got)
+    assert min(seen[k] for k in (4, 5, 6)) > 200
+    assert [text[a:b] for text in ['token = "24be64f0"'] for a, k, b in pii.spans(text) if k == 4] == ["24be64f0"]
 
 
 def test_increasing_and_alignment():
@@ -121,36 +182,51 @@ def test_license_regions_against_every_window():
             assert name in [x[0] for x in model.scan(" ".join(words))]
 
 
-def brute_rules(texts, sources):
-    lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for t in texts]
+def brute_rules(rows):
+    """Results of ``rows(doc_id, text, source)`` and their cleaned texts."""
+    lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for _, t, _ in rows]
     norm = lambda x: x.strip(" \t\n\r\x0b\x0c").lower()
-    held = collections.Counter((s, x) for s, ls in zip(sources, lines) for x in {norm(x) for x in ls})
-    rows = collections.Counter(sources)
-    out = []
-    for t, s, ls in zip(texts, sources, lines):
+    held, owned = collections.defaultdict(set), collections.defaultdict(set)
+    for (d, _, s), ls in zip(rows, lines):
+        owned[s].add(d)
+        for x in ls:
+            held[s, norm(x)].add(d)
+    out, texts = [], []
+    for (d, t, s), ls in zip(rows, lines):
         w = WORD.findall(t or "")
         g = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         covered = {i + k for i in range(len(w) - 2) if g[tuple(w[i : i + 3])] > 1 for k in range(3)}
-        often = lambda x: held[s, norm(x)] > max(quality_rules.LINE_ROWS, quality_rules.LINE_SHARE * rows[s])
+        limit = min(quality_rules.MOST, max(quality_rules.LEAST, quality_rules.LINE_SHARE * len(owned[s])))
+        often = lambda x: len(held[s, norm(x)]) > limit
         boiler = sum(len(WORD.findall(x)) for x in ls if often(x))
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
-        out.append((len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(ls) - len(set(ls)), len(covered), failed, not failed and len(w) - boiler >= 0.5 * len(w), boiler))
-    return out
+        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(ls) - len(set(ls)), len(covered), failed, not failed and len(w) - boiler >= 0.5 * len(w), boiler))
+        texts.append(t and "\n".join(x for x in t.split("\n") if not (WORD.search(x) and often(x))))
+    return out, texts
 
 
 def test_quality_rules_against_brute_force(spark):
     rng = random.Random(5)
     texts = [None, "", " \n ", "a b a b a b a b", "x " * 4000] + [" ".join(rng.choice(["a", "b", "c", "dé", "#e|"]) for _ in range(rng.randrange(120))) for _ in range(40)]
+    sources = [rng.choice(["p", "q", None]) for _ in texts]
     menu = "home about contact us now and always " * 10
-    texts += [f"{menu}\n  {' '.join(f'u{i}x{j}' for j in range(60))}" for i in range(110)] + [f"{menu}\n{menu}\nfoot {i}" for i in range(110)]
-    texts += [" ".join(f"k{j}" for j in range(60)) + "\nhome about contact us"] * 105 + [" ".join(f"m{j}" for j in range(60))]
-    sources = [rng.choice(["p", "q", None]) for _ in range(45)] + ["p"] * 110 + [None] * 110 + ["p"] * 105 + ["p"]
-    rows = [(i, t, s, 1) for i, (t, s) in enumerate(zip(texts, sources))]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int")
-    found = sorted(quality_rules.op4(table).collect(), key=lambda r: r.doc_id)
-    assert [tuple(r)[1:] for r in found] == brute_rules(texts, sources)
-    assert {r.kept for r in found} == {True, False} and max(r.n_boiler_words for r in found) > 0
-    assert quality_rules.op4(table.limit(0)).count() == 0
+    for host, n in (("p", 12), (None, 130), ("tiny", 3), ("small", 4)):
+        own = [f"{menu}\n  {' '.join(f'u{i}x{j}' for j in range(60))}" for i in range(n)] + [f"{menu}\n{menu} \nfoot {i}" for i in range(n)]
+        own += [" ".join(f"k{i}x{j}" for j in range(60)) + "\nhome about contact us" for i in range(n)]
+        texts, sources = texts + own, sources + [host] * len(own)
+    rows = list(zip(range(len(texts)), texts, sources))
+    # one document many times in a host of its own, and rows without an id: one document each
+    rows += [(5000, f"{menu}\nonce", "again")] * 150 + [(5001, "other", "again"), (None, menu, "again"), (None, f"{menu}\nno id", "again")]
+    table = spark.createDataFrame([(*r, 1, "own") for r in rows], "doc_id long, text string, source string, kept int, host string")
+    found = [tuple(r) for r in quality_rules.op4(table).collect()]
+    expected, clean = brute_rules(rows)
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+    assert {r[7] for r in found} == {True, False} and any(r[7] != (not r[6]) for r in found)
+    assert {s for (_, _, s), r in zip(rows, expected) if r[8]} == {"p", None, "tiny", "small"}
+    out = quality_rules.cleaned(table)
+    assert out.columns == table.columns
+    assert sorted((str(r.doc_id), str(r.text), str(r.source)) for r in out.collect()) == sorted((str(d), str(t), str(s)) for (d, _, s), t in zip(rows, clean))
+    assert quality_rules.op4(table.limit(0)).count() == 0 and quality_rules.cleaned(table.limit(0)).count() == 0
 
 
 def test_chat_round_trip(spark):
