@@ -1,4 +1,4 @@
-"""What the corpus operators share: table access, shared scratch storage and bounded broadcasts.
+"""What the corpus operators share: table access, words and keys of texts, and the library's storage.
 
 Internal columns start with ``_ls_`` so that they never clash with columns of the caller's table.
 """
@@ -6,53 +6,21 @@ Internal columns start with ``_ls_`` so that they never clash with columns of th
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import save, scratch_dir, small  # noqa: F401
+
 #: ASCII white space as the contracts name it; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: A frame is broadcast only if it has been counted and has no more rows than this.
-BROADCAST_ROWS = 300_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without that setting; it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not getattr(spark, "_ls_scratch", None):
-        spark._ls_scratch = tempfile.mkdtemp(prefix="lodestack-")
-    return spark._ls_scratch
-
-
-def save(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
-
-    ``hashes``: the columns are mostly random numbers, which neither dictionaries nor compression make smaller.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodestack-{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false") if hashes else df.write
-    writer.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the actions inside; the session's setting is put back."""
@@ -65,11 +33,6 @@ def arrow_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a saved frame for broadcast if its counted rows are within ``limit``; beyond, the join shuffles."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
