@@ -1,19 +1,21 @@
 """Operator 9: quality scores by nearest-neighbour voting in a latent semantic space.
 
-Terms are a text's byte bigrams, hashed to ``BINS``, and five structural terms (all words, words equal to the word
-before, words seen before in the text, lines seen before, symbol characters). Term counts are damped, weighted by
-inverse document frequency and brought to length one; the ``RANK`` leading right singular vectors of the labelled
-sample span the latent space. The labelled vectors are broadcast (``SAMPLE`` x ``RANK`` floats, a fixed size). Every
-document is compared with all of them by exact cosine products in blocks; its ``NEIGHBOURS`` nearest vote with their
-similarities to the eighth power, and the score is the share of the votes for label 1, drawn a little (``PULL``)
-towards the sample's.
-
-Learning: of the labelled rows that are not held out, per label the ``SAMPLE / 2`` of smallest ``xxhash64(doc_id)``, each up to
-``LEARN_CHARS`` characters. Scoring reads whole texts.
-
-Cases: null, empty and wordless texts are scored like others (their vector is zero: the score is the sample's share of
-label 1); without labels all scores are 0.5; ties of similarity go to the sample row first in order; repeated rows are
-rows like others; a label given twice for a row counts once for each; an empty table gives an empty result.
+Terms are a text's byte bigrams, hashed to ``BINS``, and four of its structure: words equal to the word before, words
+seen before in the text, lines seen before, symbol characters. A term's value is the square root of its share of the
+text's bytes (of its words, for the first three of structure). All terms are treated alike: centred, and scaled by their
+deviation in the labelled sample plus the mean deviation. The ``RANK`` leading right singular vectors of the sample span
+the latent space. The labelled vectors are broadcast (``SAMPLE`` x ``RANK`` floats, a fixed size). Every document is
+compared with all of them by exact cosine products in blocks; its ``NEIGHBOURS`` nearest vote with their similarities to
+the eighth power, and the score is the share of the votes for label 1, drawn a little (``PULL``) towards the sample's.
+
+Learning: of the labelled rows that are not held out, per label the ``SAMPLE / 2`` of smallest ``xxhash64(doc_id)``. Their
+terms are counted over whole texts where the texts are, and only counts reach the driver.
+
+Cases: null and empty texts get the sample's share of label 1; without labels all scores are 0.5; ties of similarity go
+to the sample row first in order (by ``doc_id``, then label); a ``doc_id`` with both labels is two sample rows, the same
+label twice is one; of several texts of a labelled ``doc_id`` the first in order is learned from; repeated rows are rows
+like others; texts of any length are counted whole; an empty table gives an empty result; only ``doc_id`` and ``text``
+are read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .common import held_out
 
 BINS, RANK, SAMPLE, NEIGHBOURS, BLOCK_ROWS = 2048, 48, 2400, 15, 256
 EXTRA = 5
-#: Strength of the sample's own share in a vote; characters of a sample row's text that are learned from.
-PULL, LEARN_CHARS = 0.1, 20000
+#: Strength of the sample's own share in a vote.
+PULL = 0.1
 CUT = 0.7
 
 _SYMBOL = np.zeros(256, bool)
@@ -94,56 +96,66 @@ def _right_vectors(x: np.ndarray, rank: int) -> np.ndarray:
     return np.ascontiguousarray((q @ v.T)[:, :rank]).astype(np.float32)
 
 
+def shares(raw: np.ndarray) -> np.ndarray:
+    """Square roots of the terms' shares; a row without bytes is zero."""
+    size, words = np.maximum(raw[:, :BINS].sum(axis=1, keepdims=True), 1), np.maximum(raw[:, BINS : BINS + 1], 1)
+    return np.sqrt(np.concatenate([raw[:, :BINS] / size, raw[:, BINS + 1 : BINS + 4] / words, raw[:, BINS + 4 :] / size], axis=1))
+
+
 class Space:
-    """Term weights, latent basis and the labelled vectors."""
+    """Centre and scale of the terms, latent basis and the labelled vectors."""
 
-    def __init__(self, column: pa.Array, labels: np.ndarray):
+    def __init__(self, raw: np.ndarray, labels: np.ndarray):
         self.share, self.labels = float(labels.mean()) if len(labels) else 0.5, labels.astype(np.float32)
-        self.idf = self.basis = self.vectors = None
+        self.centre = self.scale = self.basis = self.vectors = None
         if len(labels):
-            raw = np.concatenate(list(counts(column)))
-            self.idf = np.log1p(len(raw) / (1.0 + (raw > 0).sum(axis=0))).astype(np.float32)
-            self.idf[BINS:] = 4 * self.idf.max()
-            weighted = self._weigh(raw)
-            self.basis = _right_vectors(weighted, RANK)
-            self.vectors = self._unit(weighted @ self.basis)
-
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
+            found = shares(raw)
+            self.centre, spread = found.mean(axis=0), found.std(axis=0)
+            self.scale = 1 / np.maximum(spread + spread.mean(), 1e-12)
+            self.basis = _right_vectors((found - self.centre) * self.scale, RANK)
+            self.vectors = self._latent(found)
+
+    def _latent(self, found: np.ndarray) -> np.ndarray:
+        x = ((found - self.centre) * self.scale) @ self.basis
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def _weigh(self, raw: np.ndarray) -> np.ndarray:
-        """Structural terms enter as shares of the words (symbols: of the bytes), other terms as damped counts."""
-        body = self._unit(np.log1p(raw[:, :BINS]) * self.idf[:BINS])
-        n = np.maximum(raw[:, BINS : BINS + 1], 1)
-        size = np.maximum(raw[:, :BINS].sum(axis=1, keepdims=True), 1)
-        lines = np.minimum(raw[:, BINS + 3 : BINS + 4] / n * 10, 1)
-        shares = np.concatenate([np.zeros_like(n), raw[:, BINS + 1 : BINS + 2] / n, np.maximum(raw[:, BINS + 2 : BINS + 3] / n - 0.5, 0), lines, raw[:, BINS + 4 :] / size * 5], axis=1)
-        return np.concatenate([body, shares.astype(np.float32)], axis=1)
-
     def scores(self, raw: np.ndarray) -> np.ndarray:
         if self.vectors is None:
             return np.full(len(raw), 0.5)
-        found = self._unit(self._weigh(raw) @ self.basis)
-        near = found @ self.vectors.T
+        near = self._latent(shares(raw)) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= k else np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, at, axis=1), 0) ** 8
-        votes = (weight * self.labels[at]).sum(axis=1)
-        return ((votes + PULL * self.share) / (weight.sum(axis=1) + PULL)).astype(np.float64)
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+        above = near > least
+        tied = near == least
+        chosen = above | tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True))
+        weight = np.where(chosen, np.maximum(near, 0) ** 8, 0)
+        out = ((weight @ self.labels + PULL * self.share) / (weight.sum(axis=1) + PULL)).astype(np.float64)
+        return np.where(raw.any(axis=1), np.clip(out, 0, 1), self.share)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
-    """The space of a sample of at most ``sample`` labelled rows, which are collected to the driver."""
-    rows = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality", F.xxhash64("doc_id").alias("_ls_h"))
-    totals = rows.groupBy("quality").count()
-    near = F.least(F.lit(1.0), 2.0 * sample / F.col("count"))
-    rows = rows.join(F.broadcast(totals.select("quality", near.alias("near"))), "quality").where(F.col("_ls_h") / F.lit(2.0**64) + 0.5 <= F.col("near"))
+    """The space of a sample of at most ``sample`` labelled rows, whose counts are collected to the driver."""
+    rows = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    rows = rows.withColumn("_ls_h", F.xxhash64("doc_id"))
+    totals = rows.groupBy("quality").agg(F.count("*").alias("_ls_k"))
+    near = F.least(F.lit(1.0), 2.0 * sample / F.col("_ls_k"))
+    rows = rows.join(F.broadcast(totals.select("quality", near.alias("_ls_near"))), "quality").where(F.col("_ls_h") / F.lit(2.0**64) + 0.5 <= F.col("_ls_near"))
     order = Window.partitionBy("quality").orderBy("_ls_h", "doc_id")
-    chosen = {r.doc_id: r.quality for r in rows.withColumn("_ls_n", F.row_number().over(order)).where(f"_ls_n <= {sample // 2}").collect()}
-    texts = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, LEARN_CHARS).alias("text")).dropDuplicates(["doc_id"]).collect()
-    texts = sorted(texts, key=lambda r: r.doc_id)
-    return Space(pa.array([r.text for r in texts], pa.string()), np.array([chosen[r.doc_id] for r in texts], float))
+    chosen = sorted((r.doc_id, r.quality) for r in rows.withColumn("_ls_n", F.row_number().over(order)).where(f"_ls_n <= {sample // 2}").collect())
+    texts = docs.where(F.col("doc_id").isin(sorted({i for i, _ in chosen}))).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for raw in counts(batch.column("text")):
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]), pa.array(raw.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(raw)), flat], ["doc_id", "raw"])
+                at += len(raw)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = {r.doc_id: r.raw for r in texts.mapInArrow(run, f"doc_id {kind}, raw array<float>").collect()}
+    chosen = [x for x in chosen if x[0] in found]
+    return Space(np.array([found[i] for i, _ in chosen], np.float32).reshape(-1, BINS + EXTRA), np.array([q for _, q in chosen], float))
 
 
 def scored(docs: DataFrame, space: Space) -> DataFrame:
