@@ -13,8 +13,9 @@ in clusters, with a notice's length of words around them, where passages may hav
 notice that was found.
 
 Cases: null and empty texts hold no notice; a notice may occur many times; among notices whose spans overlap the one
-with the most aligned words wins, then the higher coverage, then the first by name; repeated rows are rows like others;
-an empty table gives an empty result.
+with the most aligned words wins, then the higher coverage, then the first by name; a text of any length is read whole,
+in time about proportional to its words and cue hits; repeated rows are rows like others; an empty table gives an empty
+result; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -134,11 +135,13 @@ class Notices:
             done = self._read(name, tight, body, cut, out)
             self._read(name, _clusters([i for i in hits if i not in done], n), body, cut, out)
         out.sort(key=lambda x: (-x[2], -x[1], x[0], x[3]))
+        # the chosen ones don't overlap, so a place is free if the neighbours on either side leave it free
         chosen: list = []
         for x in out:
-            if all(x[4] <= y[3] or y[4] <= x[3] for y in chosen):
-                chosen.append(x)
-        return sorted(chosen, key=lambda x: x[3])
+            k = bisect.bisect_left(chosen, x[3], key=lambda y: y[3])
+            if (k == len(chosen) or x[4] <= chosen[k][3]) and (not k or chosen[k - 1][4] <= x[3]):
+                chosen.insert(k, x)
+        return chosen
 
     def _read(self, name: str, places: list[tuple[int, int]], body: list[str], cut: list, out: list) -> set[int]:
         """Align the notice with places in order; add what reaches the coverage to ``out``. Returns the words covered."""
