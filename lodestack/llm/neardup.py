@@ -14,7 +14,9 @@ of T independent ones. Bands of ``ROWS`` coordinates are joined: a pair of simil
 Equal sets (two 64-bit digests) are one class from the start, so copies cost one row each and are never paired.
 
 Cases: a null text has an empty set; repeated rows are members of one class; a null ``doc_id`` is never a group's
-name unless all its members have none; an empty table gives an empty result.
+name unless all its members have none; a text of any length is hashed whole, piece by piece; an empty table gives an
+empty result; only ``doc_id`` and ``text`` are read, and other columns are carried by the pipeline's stage (names that
+start with ``_ls_`` are the library's own).
 """
 
 from __future__ import annotations
@@ -108,14 +110,16 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``(id, items)``: the full sets of the classes ``wanted(id, th)``, from the texts with those digests."""
+    """``(id, items)``: the full sets of the classes ``wanted(id, first)``, from each class's first row only."""
 
     def run(batches):
         for batch in batches:
             for first, last, items, at in _sets_of(batch, size):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), _list(items.view(np.int64), at)], ["id", "items"])
 
-    rows = docs.select(text_key(F.col("text")).alias("th"), "text").join(small(wanted), "th").select("id", "text")
+    keys = wanted.select("id", F.col("first.i").alias("_ls_i"), F.col("first.t").alias("_ls_t"))
+    rows = docs.select(F.col("doc_id").alias("_ls_id"), text_key(F.col("text")).alias("_ls_th"), "text")
+    rows = rows.join(small(keys), F.col("_ls_id").eqNullSafe(F.col("_ls_i")) & (F.col("_ls_th") == F.col("_ls_t"))).select("id", "text")
     return rows.mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"])
 
 
@@ -128,12 +132,12 @@ def groups(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFram
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         rows = save(sketches(docs, size), "sketches")
     at = F.struct(F.col("_ls_id").isNull().alias("n"), F.col("_ls_id").alias("i"), F.col("_ls_th").alias("t"))
-    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_ls_id").alias("low"), F.min(at).alias("first"), F.min("_ls_th").alias("th"))
+    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("_ls_id").alias("low"), F.min(at).alias("first"))
     classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     named = classes.select("id", "d1", "d2")
     keys = rows.where("n > 0").select("d1", "d2", "keys").dropDuplicates(["d1", "d2"]).join(named, ["d1", "d2"])
     members = save(buckets(save(keys.select("id", "keys"), "keys")), "members")
-    wanted = members.select("id").distinct().join(classes.select("id", "th"), "id")
+    wanted = members.select("id").distinct().join(classes.select("id", "first"), "id")
     wanted = save(wanted, "wanted")
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         sets = save(_class_sets(docs, wanted, size), "sets")
