@@ -126,13 +126,14 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 x AS (
-  SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?)(INST\]|s>)', '\1\\\2\3\4', 'g')) AS n,
+  SELECT *, bool_or(regexp_matches(text, '\[/?INST\]|</?s>|[\[<]\\+/?(INST\]|s>)')) OVER (PARTITION BY conv_id) AS escaped,
+    length(regexp_replace(text, '([\[<])(\\*)(/?)(INST\]|s>)', '\1\\\2\3\4', 'g')) AS n,
     length(replace(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '[', '%5B'), '<', '%3C')) AS r FROM c)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(n + CASE WHEN role = 'assistant' THEN 7 ELSE 14 + r END) AS BIGINT) AS formatted_chars
+  CAST(sum(CASE WHEN escaped THEN n ELSE length(text) END + CASE WHEN role = 'assistant' THEN 7 ELSE 14 + r END) AS BIGINT) AS formatted_chars
 FROM x GROUP BY conv_id
 """
 

@@ -4,9 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -156,11 +159,15 @@ def test_license_scan_finds_all_notices(docs):
     assert rest[5].n_notices == 2
     close = licenses.Notices(NOTICES).scan(f"{NOTICES['MIT']} {NOTICES['MIT']} and {NOTICES['GPL-3.0']}")
     assert [x[0] for x in close] == ["MIT", "MIT", "GPL-3.0"]
+    many = licenses.Notices(NOTICES).scan("\n".join([NOTICES["MIT"], "filler words", NOTICES["proprietary"]] * 20_000))
+    assert len(many) == 40_000 and all(x[4] <= y[3] for x, y in zip(many, many[1:]))
     split = NOTICES["MIT-text"].split()
     assert licenses.Notices(NOTICES).scan(" ".join(split[:25] + [f"put{i}in" for i in range(40)] + split[25:]))[0][0] == "MIT-text"
     name, start, end = found[0].spans.rsplit(":", 2)
     assert texts[0][int(start) : int(end)].lower().startswith("licensed under")
     assert licenses.op1(docs(texts).limit(0)).count() == 0
+    twice = docs(texts).unionByName(docs(texts)).withColumns({"license": F.lit(1), "p": F.lit(2), "coverage": F.lit("own")})
+    assert sorted(map(str, licenses.op1(twice).collect())) == sorted(2 * list(map(str, found)))
 
 
 def test_license_regions_against_every_window():
@@ -254,6 +261,12 @@ def test_chat_round_trip(spark):
     assert len({r.rendered for r in rendered.values() if r.conv_id and r.conv_id >= 2000}) == len(set(x or "" for x in nasty))
 
 
+def hashed(i):
+    """xxhash64 of a long with the seed 42, signed, as the engine has it; then the long itself."""
+    h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+    return (h - 2**64 if h >= 2**63 else h, i)
+
+
 LANGUAGES = {"en": "the and ing tion was with for that", "de": "der und ung schen keit für über ist", "xx": "zor bak tum rel vik pon dra sul"}
 
 
@@ -302,3 +315,79 @@ def test_quality_counts_whole_texts():
     raw = np.concatenate(list(quality.counts(pa.array(texts))))
     assert raw[:, quality.BINS :].tolist() == [[1, 0, 0, 0, 0], [0, 0, 0, 0, 0], [6, 2, 4, 1, 0], [1, 0, 0, 0, 1]]
     assert raw[:, : quality.BINS].sum(axis=1).tolist() == [1, 0, 11, 1]
+
+
+def brute_terms(text):
+    """All term counts of a text by a plain loop."""
+    data, words = (text or "").encode(), WORD.findall(text or "")
+    out = np.zeros(quality.BINS + quality.EXTRA)
+    for a, b in zip(data, data[1:]):
+        out[(a * 2654435761 + b * 40503 >> 5) % quality.BINS] += 1
+    pieces = (text or "").split("\n")
+    pieces = [x + "\n" for x in pieces[:-1]] + pieces[-1:] * bool(pieces[-1])
+    symbols = sum(c in b"#*$%&|<>!{}=~^_\\@" for c in data)
+    out[quality.BINS :] = [len(words), sum(a == b for a, b in zip(words, words[1:])), len(words) - len(set(words)), len(pieces) - len(set(pieces)), symbols]
+    return out
+
+
+def test_quality_scores_against_a_loop(spark, docs):
+    """Whole texts, every labelled vector, ties and double labels: scores are those of a dense loop."""
+    rng = random.Random(8)
+    texts = [invented(rng, "en", rng.randrange(1, 80)) for _ in range(60)] + [" ".join(["spam"] * rng.randrange(1, 9)) + "#" * rng.randrange(9) for _ in range(30)]
+    texts += texts[:10] + [None, "", "a\na\nb\n", "long " * 30_000]
+    marks = [(i, int(i < 60 or 90 <= i < 95)) for i in range(100)] + [(1, 0), (1, 0), (2, 1), (2, None), (3, 7)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    chosen = sorted({(i, q) for i, q in marks if q in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2})
+    assert len([i for i, _ in chosen]) > len({i for i, _ in chosen})
+    space = quality.Space(np.array([brute_terms(texts[i]) for i, _ in chosen], np.float32), np.array([q for _, q in chosen], float))
+    table = docs(texts).unionByName(docs(texts)).withColumns({"quality": F.lit(1), "raw": F.lit("own"), "score": F.lit(9)})
+    found = quality.op9(table, labels).collect()
+    assert len(found) == 2 * len(texts)
+    for r in found:
+        raw = brute_terms(texts[r.doc_id]).astype(np.float32)[None]
+        if not raw.any():
+            assert r.score == space.share
+            continue
+        own = space._latent(quality.shares(raw))[0]
+        near = sorted(((-float(np.dot(own, v)), j) for j, v in enumerate(space.vectors)))[: quality.NEIGHBOURS]
+        weight = [(max(-s, 0) ** 8, chosen[j][1]) for s, j in near]
+        expected = (sum(w * q for w, q in weight) + quality.PULL * space.share) / (sum(w for w, _ in weight) + quality.PULL)
+        assert abs(r.score - expected) < 1e-3 and r.predicted == int(r.score >= 0.7)
+    ties = quality.Space(np.repeat(np.eye(2, quality.BINS + quality.EXTRA, dtype=np.float32), 40, axis=0), np.array([1, 0] * 40, float))
+    first = np.array([1, 0] * 8)[: quality.NEIGHBOURS]
+    got = ties.scores(np.eye(2, quality.BINS + quality.EXTRA, dtype=np.float32)[:1])[0]
+    assert abs(got - (first.sum() + quality.PULL * 0.5) / (len(first) + quality.PULL)) < 1e-3
+
+
+def test_language_against_a_plain_loop(docs):
+    rng = random.Random(3)
+    langs = [rng.choice(list(LANGUAGES)) for _ in range(80)]
+    texts = [invented(rng, x, rng.randrange(1, 300)) for x in langs] + ["", None, "12", "the the", "und " * 40_000, "A" * 17_000]
+    langs += [None, "en", "en", None, "de", "de"]
+    model = {}
+    order = sorted((i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2 and langs[i] and texts[i] and len(texts[i].encode()) <= language.LONGEST), key=hashed)
+    for i in order:
+        parts, part = model.setdefault(langs[i], []), language.plain(texts[i])
+        if part and sum(map(len, parts)) + len(part) <= 4096:
+            parts.append(part)
+    model = {x: b" ".join(parts) for x, parts in model.items()}
+    table = docs(texts, lang=langs).unionByName(docs(texts, lang=langs)).withColumns({"score": F.lit(1), "near": F.lit(2), "count": F.lit(3)})
+    assert language.learn(table, size=4096) == model
+    found = table.select("doc_id", language.predicted(table, model).alias("p")).collect()
+    assert len(found) == 2 * len(texts)
+    packers = {}
+    for x, content in model.items():
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=language.LEVEL)
+        packers[x] = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for r in found:
+        text = texts[r.doc_id] or ""
+        if not any(c.isalpha() for c in text):
+            assert tuple(r.p) == ("und", 0.0, True)
+            continue
+        data = language.plain(text)
+        sizes = {x: sum(len(p.compress(data[i : i + language.PIECE])) for i in range(0, len(data), language.PIECE)) for x, p in packers.items()}
+        best = min(sorted(sizes), key=sizes.get)
+        next_ = min(n for x, n in sizes.items() if x != best)
+        margin = 1 - sizes[best] / next_
+        assert r.p.lang_pred == best and abs(r.p.score - margin / (margin + language.MARGIN)) < 1e-12 and r.p.rejected == (margin < language.MARGIN)
