@@ -58,3 +58,16 @@ def inside(x: Column, y: Column, x1, y1, x2, y2) -> Column:
 def fit_ratio(width: Column, height: Column, limit: int = 2048) -> Column:
     """Factor that fits an image into a square of ``limit`` without enlarging it."""
     return F.least(F.lit(1.0), F.try_divide(F.lit(float(limit)), width), F.try_divide(F.lit(float(limit)), height))
+
+
+def ends_with_any(name: Column, suffixes: list[str]) -> Column:
+    """Whether a name ends with one of the suffixes."""
+    found = F.lit(False)
+    for x in suffixes:
+        found = found | name.endswith(x)
+    return found
+
+
+def suffixed(name: Column, suffix: str) -> Column:
+    """A name with a suffix put before its extension."""
+    return F.when(name.contains("."), F.regexp_replace(name, r"(\.[^.]*)$", f"{suffix}$1")).otherwise(F.concat(name, F.lit(suffix)))

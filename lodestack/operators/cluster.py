@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .assign import Vocabulary, assign, assign_two_level, matrix
+from .assign import MODEL_NUMBERS, Vocabulary, assign, assign_two_level, matrix
 
 MAX_ITERATIONS, DELTA = 20, 0.001
 
@@ -61,7 +61,7 @@ def _partials(vectors: DataFrame, vocabularies: dict[int, Vocabulary], vector: s
                 if model is None or not len(model.ids):
                     continue
                 x, _ = matrix(batch.column(vector).filter(pa.array(tops == t)), model.matrix.shape[1])
-                best = finder(model, x) if finder else model.nearest(x)[0]
+                best = finder(int(t), x) if finder else model.nearest(x)[0]
                 for k in np.unique(best[best >= 0]):
                     own = x[best == k]
                     s = sums.setdefault((int(t), int(model.ids[k])), [0, np.zeros(x.shape[1]), 0.0])
@@ -114,19 +114,21 @@ def _stalled(rss: list[float], tolerance: float) -> bool:
     return mean > 0 and abs(rss[-1] - mean) / mean < tolerance
 
 
-def lloyd(vectors: DataFrame, start: dict[int, Vocabulary], vector: str = "embedding", iterations: int = MAX_ITERATIONS, delta: float = DELTA, search: Callable | None = None, stall: float | None = None) -> Result:
+def lloyd(vectors: DataFrame, start: dict[int, Vocabulary], vector: str = "embedding", iterations: int = MAX_ITERATIONS, delta: float = DELTA, search: Callable | None = None, stall: float | None = None, whole: bool = False) -> Result:
     """Lloyd's iterations of several problems at once: ``vectors`` has the problem in ``_ls_top``.
 
     Ends when no centroid moves more than ``delta``, or (with ``stall``) when the residual sum of squares stands still.
+    ``whole``: centroids are cut to whole numbers, as byte vectors have them.
     """
     out = Result(start)
     for _ in range(iterations):
         rows = sums(vectors, out.vocabularies, vector, search(out.vocabularies) if search else None).collect()
+        place = {t: {int(c): k for k, c in enumerate(v.ids)} for t, v in out.vocabularies.items()}
         moved, after = 0.0, {t: Vocabulary(v.ids, v.matrix.copy(), v.metric) for t, v in out.vocabularies.items()}
         for r in rows:
             model = after[r.top_id]
-            k = int(np.flatnonzero(model.ids == r.cid)[0])
-            new = np.array(r["mean"])
+            k = place[r.top_id][r.cid]
+            new = np.trunc(r["mean"]) if whole else np.array(r["mean"])
             moved = max(moved, float(np.linalg.norm(new - model.matrix[k])))
             model.matrix[k] = new
         out.vocabularies, out.iterations = after, out.iterations + 1
@@ -143,7 +145,10 @@ def kmeans(df: DataFrame, seeds: DataFrame, metric: str = "cosine", iterations:
 
 
 def bottom_seeds(df: DataFrame, bot_k: int, order: str, vector: str = "embedding") -> dict[int, list]:
-    """The first ``bot_k`` vectors of every top word, from ``df`` with ``top_id``."""
+    """The first ``bot_k`` vectors of every top word, from ``df`` with ``top_id``; at most ``MODEL_NUMBERS`` numbers."""
+    size = df.where("top_id is not null").agg(F.count_distinct("top_id"), F.max(F.size(vector))).first()
+    if (size[0] or 0) * bot_k * (size[1] or 0) > MODEL_NUMBERS:
+        raise ValueError("the bottom vocabularies are too large to be learned at once")
     rank = Window.partitionBy("top_id").orderBy(order)
     rows = df.where("top_id is not null").select("top_id", order, F.col(vector).cast("array<double>").alias("v")).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= bot_k)
     out: dict[int, list] = {}
@@ -161,10 +166,16 @@ def hierarchical(df: DataFrame, top_k: int, bot_k: int, order: str, metric: str
     return top, below
 
 
+def bottom_table(spark, bottoms: dict[int, Vocabulary]) -> DataFrame:
+    """``(top_id, cid, centroid)`` of all bottom vocabularies."""
+    rows = [(int(t), int(i), c.tolist()) for t, v in sorted(bottoms.items()) for i, c in zip(v.ids, v.matrix)]
+    return spark.createDataFrame(rows, "top_id long, cid long, centroid array<double>")
+
+
 def merged(top: Vocabulary, bottoms: dict[int, Vocabulary], bot_k: int) -> Vocabulary:
     """All bottom centroids with their global ids ``top_id * bot_k + bot_id``."""
     ids = np.concatenate([t * bot_k + v.ids for t, v in sorted(bottoms.items())])
     return Vocabulary(ids, np.concatenate([v.matrix for _, v in sorted(bottoms.items())]), top.metric)
 
 
-__all__ = ["Result", "assign_two_level", "bernoulli_k", "bottom_seeds", "carry_over", "first_k", "hierarchical", "kmeans", "lloyd", "merged", "random_k", "sums"]
+__all__ = ["Result", "assign_two_level", "bernoulli_k", "bottom_seeds", "bottom_table", "carry_over", "first_k", "hierarchical", "kmeans", "lloyd", "merged", "random_k", "sums"]

@@ -63,6 +63,13 @@ def precision_at_k(results: DataFrame, labels: DataFrame, query_labels: DataFram
     return first.groupBy("query").agg(F.round(F.sum(hit) / F.count("*"), 6).alias("precision_at_k"))
 
 
+def precision_at_k_by_name(results: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``(query, precision_at_k)``: share of the first k results whose name holds the query's class, ``classes(query, class)``."""
+    first = results.where(F.col("rank") <= k).join(classes, "query")
+    hit = F.col("doc").cast("string").contains(F.col("class")).cast("int")
+    return first.groupBy("query").agg(F.round(F.sum(hit) / F.count("*"), 6).alias("precision_at_k"))
+
+
 def hit_at(results: DataFrame, expected: DataFrame, k: int = 5, excluded: DataFrame | None = None) -> DataFrame:
     """``(query, hit)``: 1 if the expected document is among the first k, else 0; -1 for an excluded query."""
     met = results.where(F.col("rank") <= k).join(expected, ["query", "doc"], "left_semi").select("query").distinct()

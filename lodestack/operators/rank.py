@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import save
+
 
 def ranked(results: DataFrame, *order) -> DataFrame:
     """``rank`` anew, in the given order."""
@@ -75,6 +77,30 @@ def rerank_prefix(results: DataFrame, distances: DataFrame, m: int) -> DataFrame
     return ranked(both, F.when(head, 0).otherwise(1), F.when(head, F.col("distance")).asc_nulls_last(), "old").select("query", "doc", "old", "rank")
 
 
+def numbered(df: DataFrame, order: str, to: str = "pos") -> DataFrame:
+    """``df`` with the rows' numbers from 0 in ``order``: range partitions are numbered inside and put behind one another."""
+    ranged = save(df.repartitionByRange(F.col(order)).withColumn("_ls_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_ls_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_ls_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ranged.join(F.broadcast(sizes.select("_ls_part", before.alias("_ls_base"))), "_ls_part")
+    inside = F.row_number().over(Window.partitionBy("_ls_part").orderBy(order)) - 1
+    return rows.withColumn(to, (F.col("_ls_base") + inside).cast("long")).drop("_ls_part", "_ls_base")
+
+
+def suffix_join(names: DataFrame, suffixes: DataFrame, name: str, suffix: str) -> DataFrame:
+    """``names`` with the row of ``suffixes`` whose ``suffix`` the ``name`` ends with: the longest, then the first in order.
+
+    An equi-join: a name is cut at the lengths that suffixes have (few), so no pair is made that doesn't match.
+    """
+    lengths = sorted(r[0] for r in suffixes.select(F.char_length(suffix)).where(F.col(suffix) != "").distinct().collect() if r[0])
+    tails = F.array_distinct(F.array(*[F.when(F.char_length(name) >= n, F.expr(f"right(`{name}`, {n})")) for n in lengths])) if lengths else F.array().cast("array<string>")
+    cut = names.withColumn("_ls_row", F.monotonically_increasing_id())
+    cut = save(cut.withColumn("_ls_tail", F.explode(F.array_compact(tails))), "tails")
+    met = cut.join(suffixes.where(F.col(suffix) != ""), F.col("_ls_tail") == F.col(suffix))
+    order = Window.partitionBy("_ls_row").orderBy(F.char_length("_ls_tail").desc(), *[c for c in suffixes.columns])
+    return met.withColumn("_ls_n", F.row_number().over(order)).where("_ls_n = 1").drop("_ls_row", "_ls_tail", "_ls_n")
+
+
 def positional_join(many: DataFrame, one: DataFrame, group: int = 3) -> DataFrame:
     """``many(pos, ...)`` with the row of ``one(pos, ...)`` at ``pos div group``."""
     return many.withColumn("_ls_at", F.expr(f"pos div {int(group)}")).join(one.withColumnRenamed("pos", "_ls_at"), "_ls_at").drop("_ls_at")

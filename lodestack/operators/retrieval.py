@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import ends_with_any
+from ..storage import save
 from .bow import histogram
 
 #: Rows of query terms up to which they are broadcast.
@@ -37,14 +39,19 @@ class Index:
         for name in ("postings", "lengths", "terms"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def saved(self) -> Index:
+        """Written once into shared scratch storage, so that searches read it instead of making it anew."""
+        return Index(save(self.postings, "postings"), save(self.lengths, "lengths"), save(self.terms, "terms"))
+
     @classmethod
     def read(cls, spark, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms")))
 
 
-def without(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
-    """Rows to index, minus excluded keys."""
-    return rows.join(excluded.select(key).distinct(), key, "left_anti")
+def without(rows: DataFrame, excluded: DataFrame, key: str, name: str | None = None, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """Rows to index, minus excluded keys, and minus those whose ``name`` ends with one of the suffixes."""
+    kept = rows.join(excluded.select(key).distinct(), key, "left_anti")
+    return kept.where(~ends_with_any(F.col(name), list(suffixes))) if name and suffixes else kept
 
 
 def score(index: Index, queries: DataFrame) -> DataFrame:
