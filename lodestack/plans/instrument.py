@@ -8,6 +8,8 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import append_log
+
 
 def durations(marks: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Each mark's time to the next mark of the same key: ``(key, value, started, seconds)``; the last has none."""
@@ -23,7 +25,7 @@ def usage(log: DataFrame, user: str, start: int, end: int) -> DataFrame:
 
 
 class Phases:
-    """Wall times of a run's phases, kept on the driver."""
+    """Wall times of a run's phases, kept on the driver until they are appended to a log."""
 
     def __init__(self, task: str):
         self.task, self.rows = task, []
@@ -38,3 +40,7 @@ class Phases:
 
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows, "task string, phase string, started double, seconds double")
+
+    def append(self, spark, path: str) -> None:
+        """The phases so far as lines behind those of a log."""
+        append_log(spark, self.table(spark), path)

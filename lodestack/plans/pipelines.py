@@ -6,17 +6,22 @@ import itertools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.texts import tokens
+from ..functions.texts import prefixed, tokens
 from ..operators import ann, assign, bow, cluster, evaluate, rank, retrieval
+from ..sources import extract, files
+from ..storage import save, small
 from .instrument import Phases
 
 
 @dataclass
 class Config:
-    """A run's parameters. algorithm: hkm (two levels), kmeans (flat, top_k * bot_k words) or akm (approximate)."""
+    """A run's parameters. algorithm: hkm (two levels), kmeans (flat, top_k * bot_k words) or akm (approximate).
+
+    ``bytes_``: akm over byte vectors, whose centroids are whole numbers.
+    """
 
     algorithm: str = "hkm"
     top_k: int = 4
@@ -26,6 +31,7 @@ class Config:
     delta: float = cluster.DELTA
     init: str = "first"
     seed: int = 7
+    bytes_: bool = False
 
 
 @dataclass
@@ -33,7 +39,7 @@ class Vocabulary:
     config: Config
     flat: assign.Vocabulary | None = None
     top: assign.Vocabulary | None = None
-    bottoms: dict | None = None
+    bottoms: dict | DataFrame | None = None  # beyond the bound of a task: the table (top_id, cid, centroid)
 
     def words(self, df: DataFrame, vector: str = "embedding") -> DataFrame:
         """``df`` with ``word``."""
@@ -59,10 +65,32 @@ def build_vocabulary(df: DataFrame, config: Config, order: str, vector: str = "e
     if config.algorithm == "kmeans":
         return Vocabulary(config, cluster.kmeans(df, seeds, config.metric, config.iterations, config.delta, vector).vocabularies[0])
     if config.algorithm == "akm":
-        return Vocabulary(config, ann.approximate_kmeans(df, seeds, config.iterations, config.delta, vector=vector, seed=config.seed).vocabularies[0])
+        return Vocabulary(config, ann.approximate_kmeans(df, seeds, config.iterations, config.delta, vector=vector, seed=config.seed, whole=config.bytes_).vocabularies[0])
     raise ValueError(f"unknown algorithm {config.algorithm}")
 
 
+#: What an image's terms are made of.
+BOTH, VISUAL, TEXT = 0, 1, 2
+
+
+def terms(freq: DataFrame, text: DataFrame, key: str, modality: int = BOTH) -> DataFrame:
+    """``(key, n_terms, terms)`` from visual words ``freq(key, words)`` and texts ``text(key, text)``, or from one of them."""
+    if modality == BOTH:
+        return bow.multimodal(freq, text, key)
+    if modality not in (VISUAL, TEXT):
+        raise ValueError(f"unknown modality {modality}")
+    found = prefixed(tokens(F.col("words"))) if modality == VISUAL else tokens(F.col("text"))
+    rows = (freq if modality == VISUAL else text).select(key, found.alias("t"))
+    return rows.select(key, F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+def search_terms(found: DataFrame, queries: DataFrame, key: str, n: int | None = 20) -> DataFrame:
+    """Ranked results for ``queries(key)`` among the rows of ``terms``."""
+    index = retrieval.Index.build(found, key, tokens(F.col("terms")))
+    asked = index.postings.join(queries.select(F.col(key).alias("doc")), "doc", "left_semi").select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
+    return retrieval.search(index, asked, n)
+
+
 def frequency(df: DataFrame, vocabulary: Vocabulary, key: str, vector: str = "embedding") -> DataFrame:
     return bow.frequency(vocabulary.words(df, vector), key)
 
@@ -88,7 +116,7 @@ def run(df: DataFrame, config: Config, key: str, order: str, queries: DataFrame,
 
 def search_boxes(features: DataFrame, boxes: DataFrame, vocabulary: Vocabulary, freq: DataFrame, key: str, n: int | None = None) -> DataFrame:
     """All boxed queries at once: features inside a query's box become its words, then one ranked search."""
-    inside = features.join(F.broadcast(boxes), F.col(key) == F.col("image")).where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
+    inside = features.join(small(boxes.withColumnRenamed("image", "_ls_image")), F.col(key) == F.col("_ls_image")).where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
     asked = vocabulary.words(inside, "descriptor").where("word is not null").groupBy("query", F.col("word").cast("string").alias("term")).agg(F.count("*").alias("qtf"))
     return retrieval.search(retrieval.Index.build(freq, key, tokens(F.col("words"))), asked, n)
 
@@ -125,6 +153,51 @@ def folds(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     return evaluate.accuracy(evaluate.hit_at(name(results), name(expected), k))
 
 
+def run_sequence_file(spark: SparkSession, path: str, extractor, config: Config, queries: DataFrame, judgments: DataFrame | None = None, n: int | None = 20) -> dict:
+    """The whole run from a sequence file of pictures ``(key, bytes)``: features, vocabulary, frequency table, results."""
+    log = Phases(path)
+    with log.phase("features"):
+        features = save(extract.extract(files.sequence_file(spark, path), extractor, "key", "value"), "features")
+    found = run(features.withColumn("_ls_order", F.struct("image_id", "x", "y")), config, "image_id", "_ls_order", queries, judgments, n, "descriptor")
+    found["phases"].rows[:0] = log.rows
+    return found | {"features": features}
+
+
+def extract_all(spark: SparkSession, paths: Iterable[str], extractor, out: str) -> Phases:
+    """Features of each sequence file into ``out/part=<i>``, with a log of the times."""
+    log = Phases("features")
+    for i, path in enumerate(paths):
+        with log.phase(path):
+            extract.extract(files.sequence_file(spark, path), extractor, "key", "value").write.mode("overwrite").parquet(f"{out}/part={i}")
+    return log
+
+
+def build_all(df: DataFrame, configs: Iterable[Config], order: str, vector: str = "embedding") -> tuple[list[Vocabulary], Phases]:
+    """A vocabulary for each configuration, with a log of the times."""
+    log, out = Phases("vocabulary"), []
+    for c in configs:
+        with log.phase(f"{c.algorithm} {c.top_k}x{c.bot_k}"):
+            out.append(build_vocabulary(df, c, order, vector))
+    return out, log
+
+
+def class_precision(freq: DataFrame, tests: DataFrame, key: str, k: int = 20) -> DataFrame:
+    """``(class, n_queries, precision)`` of test images ``tests(key, class)``: a result counts if its name holds the class."""
+    results = search_images(freq, tests, key, k)
+    each = evaluate.precision_at_k_by_name(results, tests.select(F.col(key).alias("query"), "class"), k)
+    by = each.join(tests.select(F.col(key).alias("query"), "class"), "query").groupBy("class")
+    return by.agg(F.count("*").alias("n_queries"), F.round(F.avg("precision_at_k"), 6).alias("precision"))
+
+
+def saved_map(spark: SparkSession, folders: dict[str, str], judgments: DataFrame) -> DataFrame:
+    """``(run, n_queries, map)`` of results ``(query, doc, rank)`` that runs have saved."""
+    out = None
+    for name, path in folders.items():
+        one = evaluate.mean_average_precision(evaluate.average_precision(spark.read.parquet(path), judgments)).withColumn("run", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("run", "n_queries", "map")
+
+
 def sweep(df: DataFrame, grid: Iterable[Config], key: str, order: str, queries: DataFrame, judgments: DataFrame, vector: str = "embedding") -> DataFrame:
     """``(algorithm, top_k, bot_k, delta, init, map)`` for each configuration."""
     rows = []
@@ -134,5 +207,10 @@ def sweep(df: DataFrame, grid: Iterable[Config], key: str, order: str, queries:
     return df.sparkSession.createDataFrame(rows, "algorithm string, top_k int, bot_k int, delta double, init string, map double")
 
 
+def file_grid(spark: SparkSession, path: str, algorithm: str = "hkm", **options) -> list[Config]:
+    """A configuration for each line ``topK botK`` of a grid file."""
+    return [Config(algorithm, row[0], row[1] if len(row) > 1 else 1, **options) for row in files.sweep(spark, path)]
+
+
 def grid(algorithms=("hkm",), sizes=((2, 2),), deltas=(1e-3, 1e-4, 1e-5, 1e-6), inits=("first", "random")) -> list[Config]:
     return [Config(a, t, b, delta=d, init=i) for a, (t, b), d, i in itertools.product(algorithms, sizes, deltas, inits)]

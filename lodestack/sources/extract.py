@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+from . import files
+
 Feature = tuple[float, float, float, float, list[float]]
 
 _SCHEMA = "image_id string, scale double, orientation double, x double, y double, descriptor array<float>"
@@ -39,6 +42,16 @@ def extract(blobs: DataFrame, extractor: Callable[[bytes], Iterable[Feature]], n
     return blobs.select(F.col(name).cast("string"), content).mapInArrow(run, _SCHEMA)
 
 
+def extract_folder(spark, path: str, extractor: Callable[[bytes], Iterable[Feature]]) -> DataFrame:
+    """Descriptors of all pictures under a folder."""
+    return extract(files.images(spark, path).where("length > 0"), extractor)
+
+
+def byte_descriptors(features: DataFrame) -> DataFrame:
+    """``features`` with whole numbers from -127 to 127 as descriptors."""
+    return features.withColumn("descriptor", vectors.quantize_bytes(F.col("descriptor")))
+
+
 def observed(features: DataFrame) -> tuple[DataFrame, Observation]:
     """``features`` and an observation that holds ``n_features`` after an action."""
     seen = Observation("features")

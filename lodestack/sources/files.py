@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import json
 import tarfile
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts, vectors
+from ..storage import save, small
 
 
 def blobs(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -35,6 +36,24 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
 
 
+def resized(pictures: DataFrame, limit: int = 2048) -> DataFrame:
+    """``(origin, height, width, nChannels, data)`` of decoded pictures, made to fit into a square of ``limit`` by their
+    nearest pixels; smaller ones stay as they are."""
+
+    def run(batches):
+        for batch in batches:
+            for origin, height, width, channels, data in zip(*batch.columns):
+                h, w, c = height.as_py(), width.as_py(), channels.as_py()
+                ratio = min(1.0, limit / w, limit / h)
+                new_h, new_w = max(1, int(h * ratio)), max(1, int(w * ratio))
+                pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, c)
+                pixels = pixels[(np.arange(new_h) * h // new_h)[:, None], (np.arange(new_w) * w // new_w)[None, :]]
+                yield pa.RecordBatch.from_pydict({"origin": [origin.as_py()], "height": pa.array([new_h], pa.int32()), "width": pa.array([new_w], pa.int32()), "nChannels": pa.array([c], pa.int32()), "data": [pixels.tobytes()]})
+
+    cells = pictures.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    return cells.mapInArrow(run, "origin string, height int, width int, nChannels int, data binary")
+
+
 def xml_config(spark: SparkSession, path: str, root: str) -> dict:
     """Attributes of an XML file's root element."""
     row = spark.read.format("xml").option("rowTag", root).option("attributePrefix", "").option("inferSchema", False).load(path).first()
@@ -46,14 +65,21 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return blobs(spark, path).select("path", texts.basename(F.col("path")).alias("name"), texts.parent(F.col("path")).alias("folder"), "length")
 
 
+def folders(spark: SparkSession, path: str) -> DataFrame:
+    """``(folder, path, n_files)`` of all folders that hold files, without reading these."""
+    rows = blobs(spark, path).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"))
+    return rows.groupBy("path").agg(F.count("*").alias("n_files")).select(texts.basename(F.col("path")).alias("folder"), "path", "n_files")
+
+
 def tars(spark: SparkSession, path: str) -> DataFrame:
     """``(archive, name, content)`` of every regular file in every ``*.tar`` under ``path``; unreadable archives give none."""
 
     def run(batches):
         for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for archive, content in zip(batch.column("path"), batch.column("content")):
+                archive = archive.as_py()
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    with tarfile.open(fileobj=pa.BufferReader(content.as_buffer())) as tar:
                         for entry in tar:
                             if entry.isfile():
                                 yield pa.RecordBatch.from_pydict({"archive": [archive], "name": [entry.name], "content": [tar.extractfile(entry).read()]})
@@ -149,11 +175,18 @@ def config(spark: SparkSession, path: str) -> dict:
 def resource_log(spark: SparkSession, path: str) -> DataFrame:
     """``(ts, user, containers, mem)`` from snapshots: a ``TimeStamp: ms`` line, then table rows that belong to it.
 
-    The rows of one file are in one task (``wholetext``), as a row's time is in a line before it.
+    A row's time is in a line before it. Lines are numbered by file and place (tasks read them in order), and each part's
+    last time is handed on to the next, so a long log is read by several tasks.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.expr(r"slice(split(value, 'TimeStamp:'), 2, 1000000000)")).alias("part"))
-    line = rows.select(F.regexp_extract("part", r"^\s*(\d+)", 1).cast("long").alias("ms"), F.explode(F.split("part", "\n")).alias("line"))
-    f = F.split(F.btrim("line"), r"\s+")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = save(lines.select("file", "block", "at", F.nullif(F.regexp_extract("value", r"TimeStamp:\s*(\d+)", 1), F.lit("")).cast("long").alias("ms"), "value"), "log")
+    last = lines.where("ms is not null").groupBy("file", "block").agg(F.max_by("ms", "at").alias("last"))
+    blocks = lines.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", before.alias("before"))
+    own = F.last("ms", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("at"))
+    line = lines.join(small(save(blocks, "blocks")), ["file", "block"]).withColumn("ms", F.coalesce(own, "before")).where("ms is not null")
+    f = F.split(F.btrim("value"), r"\s+")
     fine = line.select("ms", f.alias("f")).where("size(f) >= 9 and f[6] rlike '^[0-9]+$'")
     number = F.regexp_extract(F.col("f")[8], r"^(\d+)", 1).cast("int")
     return fine.select(F.timestamp_millis("ms").alias("ts"), F.col("f")[3].alias("user"), F.col("f")[6].cast("int").alias("containers"), number.alias("mem"))
