@@ -1,6 +1,6 @@
 """All queries of the retrieval engine."""
 
-from . import evaluation, misc, retrieval, vectors
+from . import evaluation, misc, retrieval, sources, vectors
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "misc", "retrieval", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "misc", "retrieval", "sources", "vectors"]

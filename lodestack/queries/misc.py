@@ -18,10 +18,10 @@ def object_avg_histogram(spark, sf_dir):
     return bow.object_histogram(table(spark, sf_dir, "conversations"), "conv_id", texts.tokens(F.col("text")))
 
 
-@query("""SELECT o_orderkey, count(l_orderkey) AS n_members FROM orders LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) ON l_orderkey = o_orderkey
+@query("""SELECT o_orderkey, count(l_orderkey) AS n_members FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_orderkey HAVING count(l_orderkey) < 2""")
 def incomplete_objects(spark, sf_dir):
-    members = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     return bow.incomplete(table(spark, sf_dir, "orders"), members, "o_orderkey", "l_linenumber")
 
 
@@ -30,15 +30,30 @@ def category_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_custkey % 10 = 0),
+@query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders),
 g AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)
 SELECT p.pos, o_orderkey, c_custkey FROM p JOIN g ON g.pos = p.pos // 3""")
 def positional_join(spark, sf_dir):
-    from pyspark.sql import Window
-
-    number = lambda df, key: df.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("pos"))
-    many = number(table(spark, sf_dir, "orders").where("o_custkey % 10 = 0"), "o_orderkey")
-    return rank.positional_join(many, number(table(spark, sf_dir, "customer"), "c_custkey")).select("pos", "o_orderkey", "c_custkey")
+    many = rank.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return rank.positional_join(many, rank.numbered(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")).select("pos", "o_orderkey", "c_custkey")
+
+
+@query("""WITH s AS (SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS suffix FROM nation)
+SELECT c_custkey, n_nationkey FROM customer JOIN s ON ends_with(c_name, suffix)
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(suffix) DESC, n_nationkey) = 1""")
+def suffix_join(spark, sf_dir):
+    """Names with the longest key that they end with."""
+    keys = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("suffix"))
+    return rank.suffix_join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), keys, "c_name", "suffix").select("c_custkey", "n_nationkey")
+
+
+@query("""SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+AND NOT (ends_with(split_part(url, '/', len(string_split(url, '/'))), '2') OR ends_with(split_part(url, '/', len(string_split(url, '/'))), '7.html'))""")
+def filtered_index_rows(spark, sf_dir):
+    """Rows to index without excluded keys and without names of certain ends."""
+    pages = table(spark, sf_dir, "pages").select("page_id", texts.basename(F.col("url")).alias("name"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    return retrieval.without(pages, toxic, "page_id", "name", ("2", "7.html")).select("page_id")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

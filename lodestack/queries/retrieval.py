@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import tokens
 from ..operators import bow, rank, retrieval
+from ..plans import pipelines, stored
+from ..storage import save, scratch_path
 from .registry import query, table
-from .vectors import _W, words
+from .vectors import _E, _W, embeddings, words
 
 _CUT = "list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')"
 _TOK = f"tok AS (SELECT doc_id AS doc, unnest({_CUT}) AS term FROM documents)"
@@ -24,8 +26,9 @@ def _scores(docs: str, queries: str, p: str = "") -> str:
 {p}score AS (SELECT query, doc, round(met / clauses * gain / sqrt(len), 6) AS score FROM {p}hit JOIN {p}cl USING (query) JOIN {p}len USING (doc))"""
 
 
-def _top(n: int, score: str = "score") -> str:
-    return f"SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {score} QUALIFY rank <= {n}"
+def _top(n: int | None, score: str = "score") -> str:
+    cut = "" if n is None else f" QUALIFY rank <= {n}"
+    return f"SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {score}{cut}"
 
 
 TEXT_SEARCH = f"""{_TOK}, q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest({_CUT}) AS term FROM benchmark) GROUP BY ALL),
@@ -44,7 +47,8 @@ def benchmark_terms(spark, sf_dir):
 
 
 def text_results(spark, sf_dir, n):
-    return retrieval.search(text_index(spark, sf_dir), benchmark_terms(spark, sf_dir), n)
+    """Ranked documents for every benchmark item; all of them if n is None."""
+    return retrieval.search(text_index(spark, sf_dir).saved(), benchmark_terms(spark, sf_dir), n)
 
 
 def image_histogram(spark, sf_dir):
@@ -54,7 +58,7 @@ def image_histogram(spark, sf_dir):
 
 def image_results(spark, sf_dir, n):
     """Ranked images for every tenth image."""
-    postings = image_histogram(spark, sf_dir).withColumnRenamed("image_id", "doc")
+    postings = save(image_histogram(spark, sf_dir).withColumnRenamed("image_id", "doc"), "postings")
     lengths = postings.groupBy("doc").agg(F.sum("tf").alias("len"))
     index = retrieval.Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
     return retrieval.search(index, postings.where("doc % 10 = 0").select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf")), n)
@@ -90,7 +94,7 @@ def topk_per_query(spark, sf_dir):
 def filtered_search_topk(spark, sf_dir):
     """Search with a filter on the documents, the ranking statistics unchanged."""
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("doc")).distinct()
-    scores = retrieval.score(text_index(spark, sf_dir), benchmark_terms(spark, sf_dir))
+    scores = retrieval.score(text_index(spark, sf_dir).saved(), benchmark_terms(spark, sf_dir))
     return retrieval.top(scores.join(toxic, "doc", "left_anti"), 10)
 
 
@@ -113,8 +117,8 @@ _TWO = f"""{IMAGE_SEARCH}, img AS (SELECT DISTINCT doc FROM vis),
 td AS (SELECT doc_id AS doc, unnest({_CUT}) AS term FROM documents WHERE doc_id IN (SELECT doc FROM img)),
 tq AS (SELECT doc AS query, term, count(*) AS qtf FROM td WHERE doc % 10 = 0 GROUP BY ALL),
 {_scores("td", "tq", "t")},
-a AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS ra FROM tscore QUALIFY ra < 10),
-b AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS rb FROM score QUALIFY rb < 10),
+a AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS ra FROM tscore),
+b AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS rb FROM score),
 f AS (SELECT query, doc, ra, rb, count(ra) OVER (PARTITION BY query) AS na, count(rb) OVER (PARTITION BY query) AS nb FROM a FULL JOIN b USING (query, doc)),
 g AS (SELECT query, doc,
   round(0.6::DOUBLE * coalesce(ra, na + row_number() OVER (PARTITION BY query, ra IS NULL ORDER BY rb) - 1)
@@ -123,13 +127,13 @@ g AS (SELECT query, doc,
 
 @query(f"WITH {_TWO} SELECT query, doc, fused, row_number() OVER (PARTITION BY query ORDER BY fused, doc) AS rank FROM g")
 def rank_fusion(spark, sf_dir):
-    """Text ranking and visual ranking of every tenth image's neighbours, fused."""
-    visual = image_results(spark, sf_dir, 10)
+    """Text ranking and visual ranking of every tenth image's neighbours, fused over their whole lengths."""
+    visual = image_results(spark, sf_dir, None)
     images = image_histogram(spark, sf_dir).select(F.col("image_id").alias("doc_id")).distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(images, "doc_id", "left_semi")
-    index = retrieval.Index.build(docs, "doc_id", tokens(F.col("text")))
+    index = retrieval.Index.build(docs, "doc_id", tokens(F.col("text"))).saved()
     asked = index.postings.where("doc % 10 = 0").select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
-    return rank.fuse(retrieval.search(index, asked, 10), visual, 0.6)
+    return rank.fuse(retrieval.search(index, asked, None), visual, 0.6)
 
 
 _H = f"""{IMAGE_SEARCH}, r AS ({_top(20)}), h AS (SELECT doc, term, count(*) AS tf FROM vis GROUP BY ALL),
@@ -159,3 +163,35 @@ def histogram_similarity(spark, sf_dir):
     a, b = h.withColumnRenamed("image_id", "query"), h.withColumnRenamed("image_id", "doc")
     one = lambda s, n, c: rank.histogram_distance(pairs, a, b, s, n).withColumnRenamed("distance", c)
     return one("l1", "l1", "l1").join(one("l2", "l2", "l2"), ["query", "doc"]).join(one("cosine", "raw", "cosine"), ["query", "doc"])
+
+
+@query(f"""WITH {_W}, v AS (SELECT vec_id // 10 AS image_id, 'vw' || cid AS t, cid AS o FROM w),
+t AS (SELECT doc_id AS image_id, unnest({_CUT}) AS t, 1000 + generate_subscripts({_CUT}, 1) AS o FROM documents),
+b AS (SELECT 0 AS modality, * FROM v WHERE image_id IN (SELECT doc_id FROM documents) UNION ALL SELECT 0, * FROM t WHERE image_id IN (SELECT image_id FROM v)
+  UNION ALL SELECT 1, * FROM v UNION ALL SELECT 2, * FROM t)
+SELECT modality, image_id, count(*) AS n_terms, md5(string_agg(t, ' ' ORDER BY o)) AS terms FROM b GROUP BY ALL""")
+def modality_switch(spark, sf_dir):
+    """Terms from both kinds of words (0), from visual words (1), from text (2)."""
+    freq = save(bow.frequency(words(spark, sf_dir), "image_id"), "frequency")
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text")
+    out = None
+    for m in (pipelines.BOTH, pipelines.VISUAL, pipelines.TEXT):
+        one = pipelines.terms(freq, text, "image_id", m).select(F.lit(m).alias("modality"), "image_id", "n_terms", F.md5("terms").alias("terms")).where("n_terms > 0")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_E}, k AS (SELECT vec_id // 10 AS image_id, vec_id, e FROM e),
+c0 AS (SELECT vec_id AS cid, e AS c FROM e WHERE vec_id < 4),
+w0 AS (SELECT vec_id, e.e, cid FROM e, c0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(e.e, c) DESC, cid) = 1),
+m0 AS (SELECT cid, i, avg(v) AS m FROM (SELECT cid, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM w0) GROUP BY ALL),
+c1 AS (SELECT c0.cid, coalesce(list(m ORDER BY i) FILTER (m IS NOT NULL), any_value(c)) AS c FROM c0 LEFT JOIN m0 USING (cid) GROUP BY c0.cid),
+vis AS (SELECT image_id AS doc, CAST(cid AS VARCHAR) AS term FROM k, c1 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(e, c) DESC, cid) = 1),
+vq AS (SELECT doc AS query, term, count(*) AS qtf FROM vis GROUP BY ALL), {_scores("vis", "vq")}
+{_top(5)}""")
+def stored_model_search(spark, sf_dir):
+    """A vocabulary of one iteration and its index, written, read again, and searched with every image."""
+    path, features = scratch_path(spark, "model"), embeddings(spark, sf_dir)
+    config = pipelines.Config("kmeans", 4, 1, iterations=1, delta=0.0)
+    stored.Engine.build(features, config, "image_id", "vec_id").write(spark, path)
+    return stored.Engine.read(spark, path).search(features, "image_id", 5)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ann, assign, bow, cluster
+from ..sources import files, sinks
+from ..storage import scratch_path
 from .registry import query, table
 
 K, TOP_K, BOT_K = 16, 4, 4
@@ -110,16 +112,32 @@ def kmeans_rss(spark, sf_dir):
     return cluster.sums(_vectors(spark, sf_dir), _start(spark, sf_dir)).select("cid", "n", F.round("rss", 6).alias("rss"))
 
 
-@query(f"""WITH {_W}, x AS (SELECT cid, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM w),
-m AS (SELECT cid, i, avg(v) AS m FROM x GROUP BY ALL),
-c2 AS (SELECT cid, list(m ORDER BY i) AS c FROM m GROUP BY cid),
-w2 AS (SELECT vec_id, e.e, c2.cid FROM e, c2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(e.e, c2.c) DESC, c2.cid) = 1),
-x2 AS (SELECT cid, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS i FROM w2)
-SELECT cid, CAST(i AS INTEGER) AS i, round(avg(v), 6) AS value FROM x2 GROUP BY ALL""")
+def _iterations(n: int, start: str, rows: str, p: str = "") -> str:
+    """CTEs of n iterations from ``start(top, cid, c)`` over ``rows(top, vec_id, e)``; the last is ``{p}c{n}``."""
+    out, last = [], start
+    for i in range(1, n + 1):
+        out.append(f"""{p}w{i} AS (SELECT r.top, r.vec_id, r.e, s.cid FROM {rows} r JOIN {last} s ON s.top = r.top
+  QUALIFY row_number() OVER (PARTITION BY r.vec_id ORDER BY list_cosine_similarity(r.e, s.c) DESC, s.cid) = 1),
+{p}m{i} AS (SELECT top, cid, i, avg(v) AS m FROM (SELECT top, cid, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM {p}w{i}) GROUP BY ALL),
+{p}n{i} AS (SELECT top, cid, list(m ORDER BY i) AS c FROM {p}m{i} GROUP BY ALL),
+{p}c{i} AS (SELECT s.top, s.cid, coalesce(n.c, s.c) AS c FROM {last} s LEFT JOIN {p}n{i} n ON n.top = s.top AND n.cid = s.cid)""")
+        last = f"{p}c{i}"
+    return ",\n".join(out)
+
+
+ITERATIONS = 5
+
+
+@query(f"""WITH {_E}, z AS (SELECT 0 AS top, vec_id, e FROM e), s AS (SELECT 0 AS top, vec_id AS cid, e AS c FROM e WHERE vec_id < 16),
+{_iterations(ITERATIONS, "s", "z")}
+SELECT cid, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS i, round(unnest(c), 6) AS value FROM c{ITERATIONS}""")
 def kmeans_fixed_iterations(spark, sf_dir):
-    found = cluster.lloyd(_vectors(spark, sf_dir), _start(spark, sf_dir), iterations=2, delta=0.0).vocabularies[0]
-    rows = spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(found.ids, found.matrix)], "cid long, mean array<double>")
-    return _long(rows)
+    found = cluster.lloyd(_vectors(spark, sf_dir), _start(spark, sf_dir), iterations=ITERATIONS, delta=0.0).vocabularies[0]
+    return _long(_rows(spark, found))
+
+
+def _rows(spark, v):
+    return spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(v.ids, v.matrix)], "cid long, mean array<double>")
 
 
 @query(f"""WITH {_E}, o AS (SELECT vec_id AS cid, e AS c FROM e WHERE vec_id < 8 UNION ALL SELECT 8, list_transform(e, lambda x: 0::DOUBLE) FROM e WHERE vec_id = 0),
@@ -213,66 +231,128 @@ def partition_counts(spark, sf_dir):
 
 
 @query(f"""WITH {_C} SELECT cid, CAST(i AS INTEGER) AS i, round(v, 6) AS value FROM (
-  SELECT cid, unnest(c) AS v, generate_subscripts(c, 1) - 1 AS i FROM c) WHERE i < 8""")
+  SELECT cid, unnest(c) AS v, generate_subscripts(c, 1) - 1 AS i FROM c)""")
 def centroid_text_round_trip(spark, sf_dir):
     """Centroids to their text form, dense for even ids and sparse for odd ones, and back."""
-    c = centroids(spark, sf_dir).withColumn("c", F.slice(V.doubles(F.col("centroid")), 1, 8))
-    dense = F.array_join(F.col("c").cast("array<string>"), ",")
-    sparse = F.array_join(F.transform("c", lambda x, i: F.concat_ws(":", i.cast("string"), x.cast("string"))), ",")
-    lines = c.select("cid", F.when(F.col("cid") % 2 == 0, dense).otherwise(sparse).alias("body"))
-    back = F.when(F.col("body").contains(":"), V.parse_sparse(F.col("body"), 8)).otherwise(V.parse_dense(F.col("body")))
-    return _long(lines.select("cid", back.alias("c")), "c")
+    path = scratch_path(spark, "centroids")
+    c = centroids(spark, sf_dir).withColumn("centroid", V.doubles(F.col("centroid")))
+    dim = c.agg(F.max(F.size("centroid"))).first()[0]
+    sparse = F.array_join(F.transform("centroid", lambda x, i: F.concat_ws(":", i.cast("string"), x.cast("string"))), ",")
+    odd = c.where("cid % 2 = 1").select(F.concat(F.col("cid").cast("string"), F.lit("\t{"), sparse, F.lit("}")).alias("value"))
+    sinks.centroid_lines(c.where("cid % 2 = 0")).unionByName(odd).write.text(path)
+    return _long(files.checked_centroids(files.centroids(spark, path, dim), K), "centroid")
+
+
+_FIXED = 3
 
 
-@query()
+@query(f"""WITH {_E}, z AS (SELECT 0 AS top, vec_id, e FROM e), s AS (SELECT 0 AS top, vec_id AS cid, e AS c FROM e WHERE vec_id < {TOP_K}),
+{_iterations(_FIXED, "s", "z", "t")},
+b AS (SELECT z.vec_id, z.e, s.cid AS top FROM z, tc{_FIXED} s QUALIFY row_number() OVER (PARTITION BY z.vec_id ORDER BY list_cosine_similarity(z.e, s.c) DESC, s.cid) = 1),
+bs AS (SELECT top, row_number() OVER (PARTITION BY top ORDER BY vec_id) - 1 AS cid, e AS c FROM b QUALIFY row_number() OVER (PARTITION BY top ORDER BY vec_id) <= {BOT_K}),
+{_iterations(_FIXED, "bs", "b", "b")}
+SELECT top * {BOT_K} + cid AS cid, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS i, round(unnest(c), 6) AS value FROM bc{_FIXED}""")
+def hierarchical_kmeans(spark, sf_dir):
+    """Two-level vocabulary of a fixed number of iterations on either level."""
+    top, bottoms = cluster.hierarchical(embeddings(spark, sf_dir), TOP_K, BOT_K, "vec_id", iterations=_FIXED, delta=0.0)
+    return _long(_rows(spark, cluster.merged(top, bottoms, BOT_K)))
+
+
+@query(_H + " SELECT vec_id, top_id, bot_id, word FROM h")
+def hierarchical_assign_by_top_word(spark, sf_dir):
+    """The two-level join with the bottom vocabularies as a table, for models beyond a task's bound."""
+    df = embeddings(spark, sf_dir)
+    top = assign.Vocabulary.collect(centroids(spark, sf_dir, TOP_K))
+    split = assign.assign(df.select("vec_id", "embedding"), top).withColumnRenamed("cid", "top_id")
+    seeds = cluster.bottom_seeds(split, BOT_K, "vec_id")
+    bottoms = cluster.bottom_table(spark, {t: assign.Vocabulary(np.arange(len(v)), np.array(v)) for t, v in seeds.items()})
+    return assign.assign_two_level(df, top, bottoms, BOT_K).select("vec_id", "top_id", "bot_id", "word")
+
+
+def _mean_similarity(df):
+    """Mean cosine of vectors ``e`` and their centroids ``c``."""
+    return df.agg(F.avg(V.cosine_similarity(F.col("e"), F.col("c"))).alias("s")).first()["s"]
+
+
+@query("SELECT count(*) AS n_vectors, TRUE AS as_good FROM embeddings")
 def kmeans_mllib(spark, sf_dir):
-    """The library's own k-means, for comparison."""
+    """The library's own k-means against ours: as near to its centroids, within a twentieth, over all vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    df = embeddings(spark, sf_dir).select("vec_id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
+    df = embeddings(spark, sf_dir).select("vec_id", "embedding", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
     model = KMeans(k=K, maxIter=20, tol=1e-3, seed=7, distanceMeasure="cosine").fit(df)
-    return model.transform(df).select("vec_id", F.col("prediction").alias("cid"))
-
-
-@query()
-def hierarchical_kmeans(spark, sf_dir):
-    """Converged two-level vocabulary: ``word, i, value``."""
-    top, bottoms = cluster.hierarchical(embeddings(spark, sf_dir), TOP_K, BOT_K, "vec_id")
-    v = cluster.merged(top, bottoms, BOT_K)
-    rows = spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(v.ids, v.matrix)], "cid long, mean array<double>")
-    return _long(rows)
+    theirs = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "prediction int, c array<double>")
+    other = _mean_similarity(model.transform(df).join(F.broadcast(theirs), "prediction").select(V.doubles(F.col("embedding")).alias("e"), "c"))
+    found = cluster.kmeans(df, centroids(spark, sf_dir)).vocabularies[0]
+    own = assign.assign(df, found)
+    return own.agg(F.count("cid").alias("n_vectors"), (F.avg("value") >= F.lit(0.95 * other)).alias("as_good"))
 
 
-@query()
+@query("SELECT count(*) AS n_vectors, TRUE AS half_exact, TRUE AS near FROM embeddings")
 def akm_forest_assign(spark, sf_dir):
+    """The forest with its standing share of comparisons against the exact join over all vectors: half of them or more get
+    their exact nearest of 200 centroids, and the distances are within a twentieth of the exact ones in sum."""
     found = assign.Vocabulary.collect(centroids(spark, sf_dir, 200), "euclidean")
-    return ann.forest_assign(embeddings(spark, sf_dir), found, share=0.2).select("vec_id", "cid")
+    near = ann.forest_assign(embeddings(spark, sf_dir), found).select("vec_id", F.col("cid").alias("near"), "embedding")
+    c = centroids(spark, sf_dir, 200).select(F.col("cid").alias("near"), "centroid")  # 200 rows
+    near = near.join(F.broadcast(c), "near").select("vec_id", "near", V.euclidean_distance(V.doubles(F.col("embedding")), V.doubles(F.col("centroid"))).alias("far"))
+    exact = assign.assign(embeddings(spark, sf_dir), found).select("vec_id", "cid", "value")
+    hit = F.avg((F.col("near") == F.col("cid")).cast("double"))
+    return near.join(exact, "vec_id").agg(F.count("near").alias("n_vectors"), (hit >= 0.5).alias("half_exact"), (F.sum("far") <= 1.05 * F.sum("value")).alias("near"))
+
 
+def _akm_as_good(df, seeds, whole=False):
+    """Words, vectors, and whether the approximate vocabulary is within a twentieth of the exact one's residual sum."""
+    near = ann.approximate_kmeans(df, seeds, whole=whole).vocabularies[0]
+    exact = cluster.kmeans(df, seeds, "euclidean").vocabularies[0]
+    rss = [assign.assign(df, v).agg(F.sum(F.col("value") * F.col("value")).alias("s"), F.count("cid").alias("n")).first() for v in (near, exact)]
+    return df.sparkSession.createDataFrame([(len(near.ids), rss[0].n, rss[0].s <= 1.05 * rss[1].s)], "n_words long, n_vectors long, as_good boolean")
 
-@query()
+
+@query("SELECT 32::BIGINT AS n_words, count(*) AS n_vectors, TRUE AS as_good FROM embeddings")
 def akm_vocabulary(spark, sf_dir):
-    found = ann.approximate_kmeans(embeddings(spark, sf_dir), centroids(spark, sf_dir, 32), iterations=5).vocabularies[0]
-    return spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(found.ids, found.matrix)], "cid long, centroid array<double>")
+    return _akm_as_good(embeddings(spark, sf_dir), centroids(spark, sf_dir, 32))
+
 
+@query("SELECT 32::BIGINT AS n_words, count(*) AS n_vectors, TRUE AS as_good FROM embeddings")
+def akm_vocabulary_bytes(spark, sf_dir):
+    """Approximate k-means over byte vectors, with centroids of whole numbers."""
+    df = embeddings(spark, sf_dir).select("vec_id", V.quantize_bytes(F.col("embedding")).alias("embedding"))
+    seeds = df.where("vec_id < 32").select(F.col("vec_id").alias("cid"), F.col("embedding").alias("centroid"))
+    return _akm_as_good(df, seeds, True)
 
-@query()
+
+@query(f"""WITH {_C}, {_E}, p AS (SELECT vec_id, cid FROM e, c WHERE list_distance(e, c) < 1.2)
+SELECT count(*) AS n_pairs, TRUE AS enough, 0::BIGINT AS n_wrong FROM p""")
 def lsh_join(spark, sf_dir):
-    """Vectors and centroids nearer than 1.2, by locality-sensitive hashing."""
+    """Vectors and centroids nearer than 1.2: the exact join's pairs, whether locality-sensitive hashing finds nine in ten of
+    them, and how many it finds beside them."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    vector = lambda df, key, v: df.select(key, array_to_vector(V.doubles(F.col(v))).alias("features"))
+    vector = lambda df, key, v: df.select(key, V.doubles(F.col(v)).alias("x"), array_to_vector(V.doubles(F.col(v))).alias("features"))
     df, c = vector(embeddings(spark, sf_dir), "vec_id", "embedding"), vector(centroids(spark, sf_dir), "cid", "centroid")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=4, seed=7).fit(df)
-    return model.approxSimilarityJoin(df, c, 1.2, "distance").select(F.col("datasetA.vec_id").alias("vec_id"), F.col("datasetB.cid").alias("cid"), F.round("distance", 6).alias("distance"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=4.0, numHashTables=4, seed=7).fit(df)
+    near = model.approxSimilarityJoin(df, c, 1.2, "distance").select(F.col("datasetA.vec_id").alias("vec_id"), F.col("datasetB.cid").alias("cid"), F.lit(1).alias("near"))
+    pairs = df.select("vec_id", F.col("x").alias("a")).join(F.broadcast(c.select("cid", F.col("x").alias("b"))))  # every vector with the K seeds
+    exact = pairs.where(V.euclidean_distance(F.col("a"), F.col("b")) < 1.2).select("vec_id", "cid", F.lit(1).alias("exact"))
+    both = near.join(exact, ["vec_id", "cid"], "full_outer")
+    return both.agg(F.count("exact").alias("n_pairs"), (F.count(F.col("near") + F.col("exact")) >= 0.9 * F.count("exact")).alias("enough"), F.count_if(F.col("exact").isNull()).alias("n_wrong"))
+
+
+def _seeds(spark, sf_dir, seeds):
+    """How many seeds there are, how many different, and how many are vectors of the table."""
+    known = embeddings(spark, sf_dir).select(V.doubles(F.col("embedding")).alias("centroid")).distinct()
+    met = seeds.join(known.withColumn("known", F.lit(1)), "centroid", "left")
+    return met.agg(F.count("cid").alias("n_seeds"), F.count_distinct("cid").alias("n_ids"), F.count("known").alias("n_known"))
 
 
-@query()
+@query("SELECT 16::BIGINT AS n_seeds, 16::BIGINT AS n_ids, 16::BIGINT AS n_known")
 def random_seed_sample(spark, sf_dir):
-    return cluster.random_k(embeddings(spark, sf_dir), K, 7)
+    return _seeds(spark, sf_dir, cluster.random_k(embeddings(spark, sf_dir), K, 7))
 
 
-@query()
+@query("SELECT 16::BIGINT AS n_seeds, 16::BIGINT AS n_ids, 16::BIGINT AS n_known")
 def bernoulli_seed_sample(spark, sf_dir):
-    return cluster.bernoulli_k(embeddings(spark, sf_dir), K, 7)
+    return _seeds(spark, sf_dir, cluster.bernoulli_k(embeddings(spark, sf_dir), K, 7))
