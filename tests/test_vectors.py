@@ -60,6 +60,46 @@ def test_two_level_word(spark):
     assert assign.assign_two_level(rows, top, {}, 10).first()["word"] is None
 
 
+def test_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(90, 6)), rng.normal(size=(70, 6))
+    c[40] = c[3]
+    x[0] = 0
+    for metric in ("cosine", "euclidean"):
+        v = assign.Vocabulary(np.arange(70), c, metric)
+        monkeypatch.setattr(assign, "ROWS", 1000)
+        monkeypatch.setattr(assign, "COLUMNS", 1000)
+        best, value = v.nearest(x)
+        assert best[0] == -1 if metric == "cosine" else best[0] >= 0
+        assert 40 not in best
+        exact = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert metric == "cosine" or best.tolist() == exact.tolist()
+        monkeypatch.setattr(assign, "ROWS", 7)
+        monkeypatch.setattr(assign, "COLUMNS", 9)
+        again, near = v.nearest(x)
+        assert again.tolist() == best.tolist() and np.allclose(near, value, equal_nan=True)
+
+
+def test_two_level_by_a_table(spark, monkeypatch):
+    """A table of bottom centroids gives what broadcast ones give, also if a top word's vectors are dealt to many parts."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4))
+    rows = [(i, v.tolist(), "own") for i, v in enumerate(x)] + [(900, None, "own"), (901, [0.0] * 4, "own"), (902, [1.0], "own")]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, m string")
+    top = assign.Vocabulary(np.arange(3), rng.normal(size=(3, 4)))
+    bottoms = {t: assign.Vocabulary(np.arange(5), rng.normal(size=(5, 4))) for t in (0, 1)}
+    expected = {r.id: (r.top_id, r.bot_id, r.word) for r in assign.assign_two_level(df, top, bottoms, 5).collect()}
+    for group in (20, 10**6):
+        monkeypatch.setattr(assign, "GROUP", group)
+        out = assign.assign_two_level(df, top, cluster.bottom_table(spark, bottoms), 5)
+        assert out.columns == ["id", "embedding", "m", "top_id", "bot_id", "word"]
+        assert {r.id: (r.top_id, r.bot_id, r.word) for r in out.collect()} == expected
+    monkeypatch.setattr(assign, "MODEL_NUMBERS", 10)
+    for model in (bottoms, cluster.bottom_table(spark, bottoms)):
+        with pytest.raises(ValueError):
+            assign.assign_two_level(df, top, model, 5)
+
+
 def test_duplicate_centroids_are_an_error(spark):
     with pytest.raises(ValueError):
         assign.Vocabulary.collect(spark.createDataFrame([(0, [1.0]), (0, [2.0])], "cid int, centroid array<double>"))
@@ -100,16 +140,39 @@ def test_hierarchical_and_seeds(cloud):
         cluster.bernoulli_k(df, 10_000, 1)
 
 
-def test_forest_recall(cloud):
+def test_forest_recall_at_its_standing_share(cloud):
+    """At the standing share of 0.05, over enough points that the share and not the leaves bounds the search."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    points = np.concatenate([rng.normal(c, 0.15, (100, 16)) for c in centres])
+    found = ann.report(points, points[:300] + rng.normal(0, 0.05, (300, 16)))
+    assert found["precision"] >= 0.9 and found["compared"] <= 0.1, found
     x, df = cloud
-    assert ann.quality(x, x + 0.01, share=0.5) >= 0.9
     v = assign.Vocabulary(np.arange(50), x[:50], "euclidean")
     exact = {r.id: r.cid for r in assign.assign(df, v).collect()}
-    near = {r.id: r.cid for r in ann.forest_assign(df, v, share=0.6).collect()}
+    near = {r.id: r.cid for r in ann.forest_assign(df, v).collect()}
     assert sum(exact[i] == near[i] for i in exact) >= 0.8 * len(exact)
     assert len(ann.approximate_kmeans(df, cluster.first_k(df, 5, "id"), 5).rss) >= 1
 
 
+def test_byte_vocabulary(cloud):
+    _, df = cloud
+    bytes_ = df.select("id", V.quantize_bytes(F.col("embedding")).alias("embedding"))
+    found = ann.approximate_kmeans(bytes_, cluster.first_k(bytes_, 5, "id"), whole=True)
+    m = found.vocabularies[0].matrix
+    assert (m == np.trunc(m)).all() and abs(m).max() <= 127 and found.iterations >= 1
+
+
+def test_several_problems_with_a_forest_each(spark, cloud):
+    x, _ = cloud
+    rows = spark.createDataFrame([(v.tolist(), i % 2) for i, v in enumerate(x)], "embedding array<double>, _ls_top long")
+    start = {t: assign.Vocabulary(np.arange(5), x[t : t + 10 : 2] + 0.0, "euclidean") for t in (0, 1)}
+    exact = cluster.lloyd(rows, start, iterations=2)
+    near = cluster.lloyd(rows, start, iterations=2, search=lambda v: ann._Finder(v, 0, 1.0))
+    for t in (0, 1):
+        assert np.allclose(exact.vocabularies[t].matrix, near.vocabularies[t].matrix)
+
+
 def test_stall_rule():
     assert not cluster._stalled([1.0, 1.0], 0.1)
     assert cluster._stalled([1.0, 1.0, 1.0], 0.001)
