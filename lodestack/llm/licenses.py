@@ -152,6 +152,11 @@ class Notices:
                 continue
             pairs = align(words, body[lo:hi])
             if len(pairs) >= self.coverage * len(words):
+                # the place may have cut the notice off: once more with room around what was found
+                wide = max(done, lo + pairs[0][1] - len(words) // 4 - 1), lo + pairs[-1][1] + len(words) // 4 + 2
+                again = align(words, body[wide[0] : wide[1]])
+                if len(again) > len(pairs):
+                    lo, pairs = wide[0], again
                 first, last = lo + pairs[0][1], lo + pairs[-1][1]
                 out.append((name, len(pairs) / len(words), len(pairs), cut[first][0], cut[last][1]))
                 covered.update(range(first, last + 1))

@@ -220,6 +220,8 @@ def test_quality_rules_against_brute_force(spark):
     for host, n in (("p", 12), (None, 130), ("tiny", 3), ("small", 4)):
         own = [f"{menu}\n  {' '.join(f'u{i}x{j}' for j in range(60))}" for i in range(n)] + [f"{menu}\n{menu} \nfoot {i}" for i in range(n)]
         own += [" ".join(f"k{i}x{j}" for j in range(60)) + "\nhome about contact us" for i in range(n)]
+        shared = " ".join(f"{host}{j}" for j in range(60))
+        own += [f"{shared}\n" + " ".join(f"s{i}x{j}" for j in range(20)) for i in range(n)]
         texts, sources = texts + own, sources + [host] * len(own)
     rows = list(zip(range(len(texts)), texts, sources))
     # one document many times in a host of its own, and rows without an id: one document each
