@@ -5,7 +5,9 @@ Internal columns of the library start with ``_ls_`` so that they never clash wit
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +48,63 @@ def save(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     writer = df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false") if hashes else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ls_path = path
+    if _scopes():
+        _scopes()[-1].append(path)
+    return out
+
+
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Tables that are saved inside go at the end, but those that the given function is called with.
+
+    What is still to be computed afterwards must depend on kept tables only.
+    """
+    paths: list[str] = []
+    _scopes().append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        if df._ls_path in paths:
+            paths.remove(df._ls_path)
+            if len(_scopes()) > 1:
+                _scopes()[-2].append(df._ls_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes().remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a saved table that nothing depends on any more."""
+    for paths in _scopes():
+        if df._ls_path in paths:
+            paths.remove(df._ls_path)
+    _delete(df.sparkSession, df._ls_path)
+
+
+def same_table(df: DataFrame, saved: DataFrame) -> DataFrame:
+    """``df``, a projection of a saved table, as one that scopes can keep."""
+    df._ls_path = saved._ls_path
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
