@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import save, scratch_dir, small  # noqa: F401
+from ..storage import discard, same_table, save, scope, small  # noqa: F401
 
 #: ASCII white space as the contracts name it; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -33,7 +33,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matching, save, small, text_key, words
+from .common import matching, save, scope, small, text_key, words
 
 SIZE, PERCENT, BLOCKS, BLOCK_BITS, RADIUS = 5, 80, 8, 16, 31
 
@@ -162,8 +162,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, ``n_items`` it holds, ``items`` (their ids, ascending, comma-joined), ``kept``."""
-    found = matches(docs, benchmark).groupBy("_ls_id", "_ls_th").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    found = small(save(found, "found")).withColumnsRenamed({"_ls_id": "fid", "_ls_th": "fth"})
+    with scope(docs.sparkSession) as keep:
+        found = matches(docs, benchmark).groupBy("_ls_id", "_ls_th").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+        found = keep(save(found, "found"))
+    found = small(found).withColumnsRenamed({"_ls_id": "fid", "_ls_th": "fth"})
     rows = docs.select("doc_id", text_key(F.col("text")).alias("th"))
     out = rows.join(found, rows["doc_id"].eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
     ids = F.coalesce("ids", F.array().cast(found.schema["ids"].dataType))
@@ -172,5 +174,6 @@ def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that hold a benchmark item go."""
-    found = save(matches(docs, benchmark).select("_ls_id", "_ls_th").distinct(), "found")
+    with scope(docs.sparkSession) as keep:
+        found = keep(save(matches(docs, benchmark).select("_ls_id", "_ls_th").distinct(), "found"))
     return matching(docs, small(found), "left_anti")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import discard, same_table, save, scope, small
 
 
 #: Rows of single longs (band keys with company) up to which they are broadcast: 16 MB.
@@ -21,8 +21,9 @@ KEY_ROWS = 2_000_000
 #: Members of a hub's group up to which they are compared with one another.
 FEW = 64
 
-#: Members apart from their hub from which on a group gets pivots, how many in a round, and rounds.
-APART, PIVOTS, ROUNDS = 256, 4, 4
+#: Members apart from their hub from which on a group gets pivots, how many in a round, and rounds. Another round comes
+#: only if the last one linked one in ``WORTH`` of those members.
+APART, PIVOTS, ROUNDS, WORTH = 128, 2, 32, 64
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -60,11 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
-        e = save(
-            near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct(),
-            "edges",
-        )
-    return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        last, e = e, save(near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct(), "edges")
+        discard(last)
+    return same_table(e.select(F.col("u").alias("id"), F.col("v").alias("root")), e)
 
 
 def _stars(e: DataFrame) -> bool:
@@ -90,83 +89,129 @@ def _placed(tested: DataFrame, roots: DataFrame) -> DataFrame:
     return tested.join(small(roots, KEY_ROWS), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
 
 
-def _open(at: DataFrame) -> DataFrame:
+def _open(tested: DataFrame, roots: DataFrame) -> DataFrame:
     """``(h, k)`` of the hubs' groups that lie in two components or more, and the number of their members."""
+    at = _placed(tested.select("h", "id"), roots)
     found = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("h", "k")
     return save(found, "open")
 
 
-def _pivoted(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
-    """``roots`` after up to ``ROUNDS`` rounds of pivots, so that large clusters apart from their hub become one component.
+def _pivoted(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """``roots`` after rounds of pivots, so that large clusters apart from their hub become one component; and the open groups.
 
     In each round, if more than ``APART`` of a group's members are outside its hub's component, they are compared with
     ``PIVOTS`` of them, drawn at random: so many comparisons a member, whatever the group's size.
     """
+    open_ = _open(tested, roots)
     for turn in range(ROUNDS):
-        at = _placed(tested.select("h", "id"), roots)
-        rest = at.join(small(_open(at).where(F.col("k") > APART).select("h"), KEY_ROWS), "h")
+        large = open_.where(F.col("k") > APART).select("h")
+        if large.isEmpty():
+            break
+        rest = _placed(tested.select("h", "id"), roots).join(small(large, KEY_ROWS), "h")
         hub = roots.select(F.col("id").alias("h"), F.col("root").alias("hr"))
         rest = rest.join(small(hub, KEY_ROWS), "h", "left").where(F.col("c") != F.coalesce("hr", "h")).select("h", "id", "c")
         rest = save(rest, "rest")
         drawn = [F.min_by("id", F.xxhash64("id", F.lit(turn), F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)]
         pivots = rest.groupBy("h").agg(F.count("*").alias("k"), *drawn).where(F.col("k") > APART)
         pivots = pivots.select("h", F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)]))).alias("a"))
-        pivots = save(pivots, "pivots")
-        if pivots.isEmpty():
-            return roots
         own = rest.select("h", F.col("id").alias("a"), F.col("c").alias("ca"))
         pivots = save(pivots.join(own, ["h", "a"]), "pivots")
+        if pivots.isEmpty():
+            break
         pairs = rest.join(small(pivots), "h").where((F.col("a") != F.col("id")) & (F.col("c") != F.col("ca")))
         links = save(verify(pairs.select("a", F.col("id").alias("b")).distinct(), sets, percent, items), "links")
-        if not links.isEmpty():
+        n = links.count()
+        if n:
             roots = _joined(roots, links)
-    return roots
+            open_ = _open(tested, roots)
+        if n * WORTH < rest.count():
+            break
+    return roots, open_
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
 
-def _unsettled(tested: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
+def _unsettled(tested: DataFrame, roots: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
     """Links ``(a, b)`` between members of a hub's group that are in different components.
 
-    Let D be a member's difference from the hub, n its size, c = (100 - percent) / (100 + percent). Two members are
-    linked just if |Da ^ Db| <= c (na + nb), that is if |Da & Db| >= t = (|Da| + |Db| - c (na + nb)) / 2.
+    Let D be a member's difference from the hub, n its size, c = (100 - percent) / (100 + percent) and q = |D| - c n. Two
+    members are linked just if |Da ^ Db| <= c (na + nb), that is if |Da & Db| >= (qa + qb) / 2. Of two members in different
+    components one at least is not linked to the hub.
 
-    In groups of up to ``FEW`` members that is computed for each pair. In larger ones pairs must share a rare token of
-    difference: members in different components have t > 0, and as t is at least tau for all partners (unlinked to the
-    hub: (|D| - c (n + nh) + (1 - c)) / 2; linked to it, so the partner isn't: (1 - c) |D| / 2), they share one of the
-    |D| - tau + 1 rarest. Tokens that only members of one component have can't be shared by such a pair.
+    In groups of up to ``FEW`` members that is computed for each pair, in larger ones as ``_rare`` says.
     """
     c = (100 - percent) / (100 + percent)
     at = _placed(tested, roots)
-    at = at.join(small(_open(at), KEY_ROWS), "h").withColumn("d", F.size("diff"))
-    over = F.col("d") - c * (F.col("n") + F.col("nh"))
-    tau = F.when(F.col("linked"), (1 - c) / 2 * F.col("d")).otherwise((over + (1 - c)) / 2)
-    at = at.withColumn("tau", F.greatest(F.lit(1), F.ceil(tau - 1e-9)).cast("int"))
-    at = save(at.select("h", "k", "id", "c", "linked", "n", "d", "tau", "diff"), "diffs")
-    need = (F.col("da") + F.col("db") - c * (F.col("na") + F.col("nb"))) / 2 - 1e-9
-    apart = (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb"))
-    side = lambda rows, s, *more: rows.select("h", *more, *[F.col(k).alias(k + s) for k in ("id", "c", "linked", "n", "d")])
-
+    at = at.join(small(open_, KEY_ROWS), "h").withColumn("d", F.size("diff")).withColumn("q", F.col("d") - c * F.col("n"))
+    at = save(at.select("h", "k", "id", "c", "linked", "d", "q", "diff"), "diffs")
+    need = (F.col("qa") + F.col("qb")) / 2 - 1e-9
+    apart = (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb"))
     little = at.where(F.col("k") <= FEW)
-    x, y = (side(little, s, F.col("diff").alias(f"diff{s}")) for s in "ab")
-    pairs = x.join(y, "h").where(apart & (need <= F.least("da", "db")) & (F.size(F.array_intersect("diffa", "diffb")) >= need))
-    direct = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-
-    large = at.where(F.col("k") > FEW)
-    tokens = large.select("h", "id", "c", F.explode("diff").alias("t"))
-    often = tokens.groupBy("h", "t").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "t", "f")
-    shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
-    rows = large.drop("diff").join(shared, ["h", "id"]).withColumn("s", F.size("ts")).where("s >= tau")
-    rows = rows.withColumn("first", F.transform(F.slice("ts", 1, F.greatest(F.lit(0), F.col("s") - F.col("tau") + 1)), lambda x: x["t"]))
-    rows = save(rows.select("h", "id", "c", "linked", "n", "d", "s", "first", F.posexplode("first").alias("at", "t")), "prefixes")
-    x, y = (side(rows, s, "t", *[F.col(k).alias(k + s) for k in ("s", "at", "first")]) for s in "ab")
+    x, y = (little.select("h", *[F.col(v).alias(v + s) for v in ("id", "c", "linked", "d", "q", "diff")]) for s in "ab")
+    pairs = x.join(y, "h").where((F.col("ida") < F.col("idb")) & apart & (need <= F.least("da", "db")))
+    direct = pairs.where(F.size(F.array_intersect("diffa", "diffb")) >= need).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    met = _rare(at.where(F.col("k") > FEW))
+    return direct.unionByName(verify(met, sets, percent, items)) if met is not None else direct
+
+
+def _rare(at: DataFrame) -> DataFrame | None:
+    """Pairs ``(a, b)`` of members in different components that may be linked; None if there are no members.
+
+    The pairs of two members not linked to the hub (U) and those of one that is (L) and one that isn't are found apart,
+    as their bounds differ. With s the number of a member's tokens that such a partner has, and m the least q among the
+    partners, a member must have s >= tau = (q + m) / 2, and its pairs share one of its s - tau + 1 rarest such tokens.
+    Members for whom no partner's 2 s - q reaches their q have no pair. These bounds are taken twice, the second time from
+    members that have passed the first. Only what is left is joined by token.
+    """
+    if at.isEmpty():
+        return None
+    far = ~F.col("linked")
+    least = at.groupBy("h").agg(F.min(F.when(far, F.col("q"))).alias("mu"), F.min(F.when(~far, F.col("q"))).alias("ml"))
+    least = save(least.where("mu is not null"), "least")
+    # a member linked to the hub needs a partner of q <= 2 |D| - q, as they share |D| tokens at most
+    held = at.join(small(least, KEY_ROWS // 4), "h").where(far | (F.col("mu") <= 2 * F.col("d") - F.col("q")))
+    tokens = held.select("h", "id", "c", "linked", F.explode("diff").alias("t"))
+    often = tokens.groupBy("h", "t").agg(
+        F.count("*").alias("f"), F.min(F.when(far, F.col("c"))).alias("lu"), F.max(F.when(far, F.col("c"))).alias("hu"), F.count_if("linked").alias("fl"), F.min("c").alias("lo"), F.max("c").alias("hi")
+    )
+    often = often.where("lu is not null and lo <> hi").select("h", "t", "f", (F.col("lu") != F.col("hu")).alias("uu"), (F.col("fl") > 0).alias("ul"))
+    entry = F.struct("f", "t")
+    both = F.collect_list(F.when(F.col("uu") & far, entry)), F.collect_list(F.when(F.col("ul"), entry))
+    shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(both[0]).alias("uu"), F.array_sort(both[1]).alias("ul"))
+    rows = save(held.drop("diff", "d", "k").join(shared, ["h", "id"]), "shared")
+
+    # the bounds once more, from members that are still in question only
+    q, uu, ul = F.col("q"), F.size("uu"), F.size("ul")
+    sides = {"uu": (far, uu, "mu"), "u": (far, ul, "ml"), "l": (~far, ul, "mu")}
+    enough = {k: which & F.col(m).isNotNull() & (s >= F.greatest(F.lit(1.0), (q + F.col(m)) / 2 - 1e-9)) for k, (which, s, m) in sides.items()}
+    bounds = [f(F.when(enough[k], x)).alias(f"{n}_{k}") for k, (_, s, _) in sides.items() for n, f, x in (("m", F.min, q), ("top", F.max, 2 * s - q))]
+    rows = rows.join(small(save(rows.groupBy("h").agg(*bounds), "bounds"), KEY_ROWS // 8), "h")
+    side = lambda k, other, s: _side(rows.where(enough[k]), "ul" if k != "uu" else "uu", f"m_{other}", f"top_{other}", s)
+    return _met(side("uu", "uu", "a"), side("uu", "uu", "b"), True).unionByName(_met(side("u", "l", "a"), side("l", "u", "b"), False)).distinct()
+
+
+def _side(rows: DataFrame, tokens: str, least: str, top: str, s: str) -> DataFrame:
+    """Members that may have a partner, with each token of their prefix, rarest first, and its place in it."""
+    tau = F.greatest(F.lit(1), F.ceil((F.col("q") + F.col(least)) / 2 - 1e-9)).cast("int")
+    rows = rows.where(F.col(least).isNotNull() & (F.col("q") <= F.col(top) + 1e-9))
+    rows = rows.select("h", "id", "c", "q", tau.alias("tau"), F.size(tokens).alias("s"), F.col(tokens).alias("ts")).where("s >= tau")
+    # the optimiser may look at the prefix of rows that the condition on s leaves out
+    first = F.transform(F.slice("ts", F.lit(1), F.greatest(F.lit(0), F.col("s") - F.col("tau") + 1)), lambda x: x["t"])
+    rows = rows.withColumn("first", first)
+    return rows.select("h", *[F.col(v).alias(v + s) for v in ("id", "c", "q", "s", "first")], F.posexplode("first").alias("at" + s, "t"))
+
+
+def _met(x: DataFrame, y: DataFrame, same: bool) -> DataFrame:
+    """Pairs of the two sides that share a token of their prefixes, as far as places and numbers of tokens allow it."""
+    need = (F.col("qa") + F.col("qb")) / 2 - 1e-9
     # a pair counts at the first token that both prefixes have, from which on all tokens in common come
     most = F.least(F.col("sa") - F.col("ata"), F.col("sb") - F.col("atb"))
-    met = x.join(y, ["h", "t"]).where(apart & (need <= most) & (F.get(F.array_intersect("firsta", "firstb"), F.lit(0)) == F.col("t")))
-    met = verify(met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), sets, percent, items)
-    return direct.unionByName(met)
+    order = F.col("ida") < F.col("idb") if same else F.col("ida") != F.col("idb")
+    met = x.join(y, ["h", "t"]).where(order & (F.col("ca") != F.col("cb")) & (need <= most))
+    met = met.where(F.get(F.array_intersect("firsta", "firstb"), F.lit(0)) == F.col("t"))
+    return met.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
 def link(members: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column] = lambda c: c) -> DataFrame:
@@ -178,12 +223,17 @@ def link(members: DataFrame, sets: DataFrame, percent: int, items: Callable[[Col
     that are then still in different components are compared if their differences from the hub leave it possible
     (``_unsettled``), so no candidate pair is lost, and a group around its hub costs one comparison a member.
     """
+    with scope(members.sparkSession) as keep:
+        return keep(_linked(members, sets, percent, items))
+
+
+def _linked(members: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
     degrees = members.groupBy("id").agg(F.sum("k").alias("degree"))
     ranked = save(members.select("key", "id").join(degrees, "id"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub")).select("key", F.col("hub.id").alias("h"))
-    pairs = ranked.join(small(save(hubs, "hubs"), KEY_ROWS), "key").where("id <> h").select("h", "id").distinct()
+    pairs = ranked.join(hubs, "key").where("id <> h").select("h", "id").distinct()
     tested = save(_differences(pairs, sets, percent, items), "tested")
     links = tested.where("linked").select(F.col("h").alias("a"), F.col("id").alias("b"))
-    roots = _pivoted(tested, save(components(links), "roots"), sets, percent, items)
-    more = save(_unsettled(tested, roots, sets, percent, items).distinct(), "more")
+    roots, open_ = _pivoted(tested, components(links), sets, percent, items)
+    more = save(_unsettled(tested, roots, open_, sets, percent, items).distinct(), "more")
     return roots if more.isEmpty() else _joined(roots, more)

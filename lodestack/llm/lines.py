@@ -10,7 +10,7 @@ without a word always stay.
    and the smallest hash in each bin is a coordinate (one-permutation MinHash; an empty bin takes another bin's).
    Of a line of ``KEEP`` shingles or more only hashes under a limit that leaves half ``KEEP`` to ``KEEP`` of them reach the
    aggregate: a bin's smallest hash is among them if any of the bin's is. Lines of which this leaves ``EMPTY`` bins
-   without one, as they repeat few shingles, are done again without the limit.
+   without one, as they repeat few shingles, are read in one text each and done again without the limit.
 2. Bands: ``BANDS`` triples of bins, of which no two have two bins in common.
 3. Links: exact verification on the full shingle sets, hubs and components as in ``graph``.
 
@@ -30,11 +30,11 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small, text_key
+from .common import save, scope, small, text_key
 from .graph import KEY_ROWS, buckets, link
 
 SHINGLE, BINS, BANDS, PERCENT = 12, 16, 12, 80
-KEEP, EMPTY = 128, 4
+KEEP, EMPTY = 96, 4
 
 #: Bins of each band. The differences 1, 2 and 3 occur once each, so two bands share one bin at most.
 _TRIPLES = [[(5 * j + k) % BINS for k in (0, 1, 3)] for j in range(BANDS)]
@@ -90,42 +90,46 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _coordinates(lines: DataFrame, limit) -> DataFrame:
-    """``(i1, i2, n, copies, m0, m1, ...)``: for each class of ``lines(line)`` the smallest hash in each bin.
+    """``(i1, i2, n, copies, text, m0, m1, ...)``: for each class of ``lines(text, line)`` the smallest hash in each bin,
+    and the largest digest of a text that holds it.
 
     Shingles are rows for a moment only, inside one stage: what is shuffled is a row for each class and task.
     """
     # what is made of a whole line comes in a projection below the explosion, else it would be made for each shingle
-    named = lines.select(*_name(F.col("line")), F.col("line").cast("binary").alias("b"))
-    named = named.select("i1", "i2", "b", _windows(F.col("b")).alias("n"), limit(_windows(F.col("b"))).alias("most"))
-    rows = named.select("i1", "i2", "n", "most", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    low = rows.select("i1", "i2", "n", "i", "most", _hash(F.col("b"), F.col("i")).alias("h")).where("h <= most or i = 1")
+    named = lines.select("text", *_name(F.col("line")), F.col("line").cast("binary").alias("b"))
+    named = named.select("text", "i1", "i2", "b", _windows(F.col("b")).alias("n"), limit(_windows(F.col("b"))).alias("most"))
+    rows = named.select("text", "i1", "i2", "n", "most", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    low = rows.select("text", "i1", "i2", "n", "i", "most", _hash(F.col("b"), F.col("i")).alias("h")).where("h <= most or i = 1")
     low = low.withColumn("bin", F.when(F.col("h") <= F.col("most"), F.col("h").bitwiseAND(F.lit(BINS - 1))))
     mins = [F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
-    return low.groupBy("i1", "i2", "n").agg(F.count_if(F.col("i") == 1).alias("copies"), *mins)
+    return low.groupBy("i1", "i2", "n").agg(F.count_if(F.col("i") == 1).alias("copies"), F.max("text").alias("text"), *mins)
 
 
 def _keys(found: DataFrame) -> DataFrame:
-    """``(i1, i2, copies, poor, keys)``: band keys; ``poor``: the limit left too many bins empty."""
+    """``(i1, i2, copies, text, poor, keys)``: band keys; ``poor``: the limit left too many bins empty."""
     m = [F.col(f"m{j}") for j in range(BINS)]
     empty = sum((c.isNull().cast("int") for c in m[1:]), m[0].isNull().cast("int"))
     full = [F.coalesce(m[j], *[m[k] for k in _OTHERS[j]]).alias(f"c{j}") for j in range(BINS)]
-    found = found.select("i1", "i2", "copies", ((F.col("n") >= KEEP) & (empty >= EMPTY)).alias("poor"), *full)
+    found = found.select("i1", "i2", "copies", "text", ((F.col("n") >= KEEP) & (empty >= EMPTY)).alias("poor"), *full)
     bands = [F.xxhash64(F.lit(b), *[F.col(f"c{j}") for j in t]) for b, t in enumerate(_TRIPLES)]
-    return found.select("i1", "i2", "copies", "poor", F.array(*bands).alias("keys"))
+    return found.select("i1", "i2", "copies", "text", "poor", F.array(*bands).alias("keys"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """``(id, i1, i2, copies, keys)`` of every different line, saved."""
-    lines = docs.select(F.explode(_cut(F.col("text"))).alias("raw")).select(_trimmed(F.col("raw")).alias("line")).where("line <> ''")
+    lines = _lines(docs).select(F.col("_ls_th").alias("text"), "line")
     first = save(_keys(_coordinates(lines, _limit)).withColumn("id", F.monotonically_increasing_id()), "signatures", hashes=True)
-    names = save(first.where("poor").select(F.col("i1").alias("p1"), F.col("i2").alias("p2")), "poor")
-    out = first.where("not poor").drop("poor")
-    if names.isEmpty():
+    out, poor = first.where("not poor").drop("poor", "text"), first.where("poor")
+    texts = save(poor.select(F.col("text").alias("_ls_held")).distinct(), "poor")
+    if texts.isEmpty():
         return out
+    names = save(poor.select(F.col("i1").alias("p1"), F.col("i2").alias("p2"), "copies"), "poor")
+    held = docs.join(small(texts), text_key(F.col("text")) == F.col("_ls_held"), "left_semi")
     i1, i2 = _name(F.col("line"))
-    again = lines.join(small(names), (i1 == F.col("p1")) & (i2 == F.col("p2")), "left_semi")
-    again = _keys(_coordinates(again, lambda n: F.lit(2**63 - 1))).withColumn("id", -1 - F.monotonically_increasing_id())
-    return out.unionByName(save(again.drop("poor"), "signatures", hashes=True))
+    again = _lines(held).select(F.col("_ls_th").alias("text"), "line").join(small(names).drop("copies"), (i1 == F.col("p1")) & (i2 == F.col("p2")), "left_semi")
+    again = _keys(_coordinates(again, lambda n: F.lit(2**63 - 1))).drop("copies", "poor", "text")
+    again = again.join(names, (F.col("i1") == F.col("p1")) & (F.col("i2") == F.col("p2"))).select("i1", "i2", "copies", "keys")
+    return out.unionByName(save(again.withColumn("id", -1 - F.monotonically_increasing_id()), "signatures", hashes=True))
 
 
 def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,7 +148,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     wanted = wanted.where("near or copies > 1").select("id", "i1", "i2", F.coalesce("near", F.lit(False)).alias("near"))
     places = save(_places(docs, save(wanted, "wanted")), "places")
     sets = places.where("line is not null").select("id", F.col("line").alias("items")).dropDuplicates(["id"])
-    roots = save(link(members, save(sets, "sets"), PERCENT, shingles), "roots")
+    roots = link(members, save(sets, "sets"), PERCENT, shingles)
     at = F.struct(F.col("_ls_id").isNull().alias("n"), F.col("_ls_id").alias("i"), F.col("_ls_th").alias("t"), F.col("line_no").alias("l"))
     placed = places.drop("line").join(small(roots, KEY_ROWS), "id", "left").select(F.coalesce("root", "id").alias("c"), "_ls_id", "_ls_th", "line_no")
     first = save(placed.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "first")
@@ -155,7 +159,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate lines taken out of ``text``, and ``_ls_gone``: how many went (0: unchanged)."""
-    gone = save(duplicate_lines(docs), "gone")
+    with scope(docs.sparkSession) as keep:
+        gone = keep(save(duplicate_lines(docs), "gone"))
     keyed = docs.withColumns({"_ls_id0": F.col("doc_id"), "_ls_th0": text_key(F.col("text"))})
     both = keyed.join(small(gone), keyed["_ls_id0"].eqNullSafe(gone["_ls_id"]) & (keyed["_ls_th0"] == gone["_ls_th"]), "left")
     stay = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ls_lost", i)), "\n")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import arrow_batches, matching, save, small, text_key
+from .common import arrow_batches, matching, save, scope, small, text_key
 from .graph import buckets, link
 
 T, ROWS, BANDS = 336, 7, 48
@@ -129,6 +129,12 @@ def groups(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFram
     rows: ``_ls_id, _ls_th, n, d1, d2``. classes: ``d1, d2, group_id`` (the group's smallest doc_id), ``first`` (the
     group's first row: struct of null flag, doc_id and text digest).
     """
+    with scope(docs.sparkSession) as keep:
+        rows, found = _groups(docs, size, percent)
+        return keep(rows).drop("keys"), keep(found)
+
+
+def _groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         rows = save(sketches(docs, size), "sketches")
     at = F.struct(F.col("_ls_id").isNull().alias("n"), F.col("_ls_id").alias("i"), F.col("_ls_th").alias("t"))
@@ -141,11 +147,11 @@ def groups(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFram
     wanted = save(wanted, "wanted")
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         sets = save(_class_sets(docs, wanted, size), "sets")
-    roots = save(link(members, sets, percent), "roots")
+    roots = link(members, sets, percent)
     linked = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = linked.groupBy("root").agg(F.min("low").alias("group_id"), F.min("first").alias("group_first"))
     out = linked.join(best, "root").select("d1", "d2", "group_id", F.col("group_first").alias("first"))
-    return rows.drop("keys"), save(out, "groups")
+    return rows, save(out, "groups")
 
 
 def op5(docs: DataFrame, size: int = 2) -> DataFrame:
