@@ -69,10 +69,10 @@ def _hash(octets: Column, i: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Distinct 64-bit hashes of a line's shingles."""
+    """64-bit hashes of a line's shingles, repeated ones too."""
     # the line is bound as an element of an array, as a column would be copied for each shingle
     sets = F.transform(F.array(line.cast("binary")), lambda b: F.transform(F.sequence(F.lit(1), _windows(b)), lambda i: _hash(b, i)))
-    return F.array_distinct(sets[0])
+    return sets[0]
 
 
 def _limit(n: Column) -> Column:
@@ -99,7 +99,9 @@ def _coordinates(lines: DataFrame, limit) -> DataFrame:
     named = lines.select("text", *_name(F.col("line")), F.col("line").cast("binary").alias("b"))
     named = named.select("text", "i1", "i2", "b", _windows(F.col("b")).alias("n"), limit(_windows(F.col("b"))).alias("most"))
     rows = named.select("text", "i1", "i2", "n", "most", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    low = rows.select("text", "i1", "i2", "n", "i", "most", _hash(F.col("b"), F.col("i")).alias("h")).where("h <= most or i = 1")
+    # the partition's number keeps the condition above this projection; below it each hash would be made twice
+    low = rows.select("text", "i1", "i2", "n", "i", "most", _hash(F.col("b"), F.col("i")).alias("h"), F.spark_partition_id().alias("part"))
+    low = low.where("(h <= most or i = 1) and part >= 0")
     low = low.withColumn("bin", F.when(F.col("h") <= F.col("most"), F.col("h").bitwiseAND(F.lit(BINS - 1))))
     mins = [F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
     return low.groupBy("i1", "i2", "n").agg(F.count_if(F.col("i") == 1).alias("copies"), F.max("text").alias("text"), *mins)
