@@ -23,7 +23,7 @@ FEW = 64
 
 #: Members apart from their hub from which on a group gets pivots, how many in a round, and rounds. Another round comes
 #: only if the last one linked one in ``WORTH`` of those members.
-APART, PIVOTS, ROUNDS, WORTH = 128, 2, 32, 64
+APART, PIVOTS, ROUNDS, WORTH = 128, 2, 32, 8
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -41,8 +41,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, items: Callable[[Col
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("ra"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("rb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", items(F.col("ra")).alias("sa"), items(F.col("rb")).alias("sb"))
-    both = both.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    return both.where(100 * F.size(F.array_intersect("sa", "sb")) >= percent * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -74,13 +73,14 @@ def _stars(e: DataFrame) -> bool:
 def _differences(pairs: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
     """``pairs(h, id)`` compared exactly: ``linked``, set sizes ``nh`` and ``n``, and ``diff``, the tokens in one only.
 
-    Tokens that the hub alone has are told from the others by their complement.
+    Tokens that the hub alone has are told from the others by their complement. ``items`` may repeat tokens.
     """
     left = sets.select(F.col("id").alias("h"), F.col("items").alias("rh"))
     right = sets.select("id", F.col("items").alias("r"))
     both = pairs.join(left, "h").join(right, "id").select("h", "id", items(F.col("rh")).alias("sh"), items(F.col("r")).alias("s"))
-    lacks = F.transform(F.array_except("sh", "s"), lambda x: F.bitwise_not(x))
-    both = both.select("h", "id", F.size("sh").alias("nh"), F.size("s").alias("n"), F.concat(F.array_except("s", "sh"), lacks).alias("diff"))
+    both = both.select("h", "id", F.array_except("s", "sh").alias("more"), F.array_except("sh", "s").alias("less"), F.size(F.array_intersect("s", "sh")).alias("k"))
+    diff = F.concat("more", F.transform("less", lambda x: F.bitwise_not(x)))
+    both = both.select("h", "id", (F.col("k") + F.size("less")).alias("nh"), (F.col("k") + F.size("more")).alias("n"), diff.alias("diff"))
     return both.withColumn("linked", F.size("diff") * (100 + percent) <= (F.col("n") + F.col("nh")) * (100 - percent))
 
 
