@@ -7,13 +7,14 @@ smaller document id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import ends_with_any
-from ..storage import save
+from ..storage import save, small
 from .bow import histogram
 
 #: Rows of query terms up to which they are broadcast.
@@ -60,19 +61,32 @@ def score(index: Index, queries: DataFrame) -> DataFrame:
     Postings are cut to the queries' terms by a broadcast of these terms (if they are counted to be few) before anything
     is shuffled, so only matching postings move.
     """
-    few = queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
-    small = F.broadcast if few else lambda df: df
+    fit = _few(queries)
+    return _scored(index.postings, index.lengths, _weighed(index, queries, fit), fit)
+
+
+def _few(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What marks frames of the size of ``queries`` for broadcast, if these are counted to be few."""
+    return F.broadcast if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else lambda df: df
+
+
+def _weighed(index: Index, queries: DataFrame, fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``queries`` with each term's ``idf`` in the index and each query's ``clauses``."""
     n = index.lengths.agg(F.count("*").alias("n_docs"))
     wanted = queries.select("term").distinct()
-    idf = index.postings.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = index.postings.join(fit(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = idf.join(F.broadcast(n)).select("term", (1 + F.log(F.col("n_docs") / (F.col("df") + 1))).alias("idf"))
     clauses = queries.groupBy("query").agg(F.sum("qtf").alias("clauses"))
-    weighed = queries.join(idf, "term").join(clauses, "query")
-    hits = index.postings.join(small(weighed), "term")
+    return queries.join(idf, "term").join(clauses, "query")
+
+
+def _scored(postings: DataFrame, lengths: DataFrame, weighed: DataFrame, fit: Callable[[DataFrame], DataFrame], *more: str) -> DataFrame:
+    """``(query, doc, score)`` and the columns ``more`` of ``lengths``."""
+    hits = postings.join(fit(weighed), "term")
     gain = F.col("qtf") * F.sqrt("tf") * F.col("idf") * F.col("idf")
     sums = hits.groupBy("query", "doc").agg(F.sum(gain).alias("gain"), F.sum("qtf").alias("met"), F.max("clauses").alias("clauses"))
-    out = sums.join(index.lengths, "doc")
-    return out.select("query", "doc", F.round(F.col("met") / F.col("clauses") * F.col("gain") / F.sqrt("len"), 6).alias("score"))
+    out = sums.join(lengths, "doc")
+    return out.select("query", "doc", F.round(F.col("met") / F.col("clauses") * F.col("gain") / F.sqrt("len"), 6).alias("score"), *more)
 
 
 def top(scores: DataFrame, n: int | None) -> DataFrame:
@@ -84,3 +98,37 @@ def top(scores: DataFrame, n: int | None) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, n: int | None = 20) -> DataFrame:
     return top(score(index, queries), n)
+
+
+def _alike(rows: DataFrame, key: str, count: str) -> DataFrame:
+    """``(key, terms, n1, n2)``: each key's sorted terms with their counts, and their 128-bit name."""
+    out = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", count))).alias("terms"))
+    return out.withColumns({"n1": F.xxhash64("terms"), "n2": F.xxhash64(F.lit(1), "terms")})
+
+
+def search_alike(index: Index, queries: DataFrame, n: int) -> DataFrame:
+    """``search`` for many queries: documents, and queries, with the same terms as often are scored as one.
+
+    A class's documents have one score, so the first n of a query are among the n smallest documents of the first n
+    classes, in order of the score and the class's smallest document. Pairs of classes are made, not pairs of documents.
+    """
+    docs = _alike(index.postings, "doc", "tf").join(index.lengths, "doc")
+    docs = save(docs.withColumns({"n1": F.xxhash64("n1", "len"), "n2": F.xxhash64("n2", "len")}), "alike")
+    order = Window.partitionBy("n1", "n2").orderBy("doc")
+    firsts = docs.select("n1", "n2", "doc").withColumn("_ls_n", F.row_number().over(order)).where(F.col("_ls_n") <= n)
+    firsts = save(firsts.select(F.struct("n1", "n2").alias("class"), "doc"), "firsts")
+    kinds = docs.groupBy("n1", "n2").agg(F.first("terms").alias("terms"), F.first("len").alias("len"), F.min("doc").alias("low"))
+    kinds = save(kinds.select(F.struct("n1", "n2").alias("doc"), "terms", "len", "low"), "kinds")
+    asked = save(_alike(queries, "query", "qtf"), "alike").withColumn("kind", F.struct("n1", "n2"))
+    each = asked.groupBy("n1", "n2").agg(F.first("terms").alias("terms")).select(F.struct("n1", "n2").alias("query"), F.explode("terms").alias("t"))
+    each = save(each.select("query", "t.term", "t.qtf"), "asked")
+
+    fit = _few(each)
+    weighed = save(_weighed(index, each, fit), "weighed")
+    postings = kinds.select("doc", F.explode("terms").alias("t")).select("doc", "t.term", "t.tf")
+    pairs = _scored(postings, kinds.select("doc", "len", "low"), weighed, fit, "low")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "low")
+    pairs = pairs.withColumn("_ls_n", F.row_number().over(best)).where(F.col("_ls_n") <= n)
+    found = pairs.select("query", F.col("doc").alias("class"), "score").join(firsts, "class").select("query", "doc", "score")
+    found = save(top(found, n), "found").withColumnRenamed("query", "kind")
+    return asked.select("query", "kind").join(small(found), "kind").select("query", "doc", "score", "rank")

@@ -78,7 +78,8 @@ class Engine:
 
     def search(self, features: DataFrame, key: str, n: int | None = 20, vector: str = "embedding") -> DataFrame:
         """Ranked results for every image of ``features``, indexed or not."""
-        return retrieval.search(self.index, save(self.terms(features, key, vector), "terms"), n)
+        asked = save(self.terms(features, key, vector), "terms")
+        return retrieval.search(self.index, asked, n) if n is None else retrieval.search_alike(self.index, asked, n)
 
     def search_one(self, features: DataFrame, name, n: int | None = 20, vector: str = "embedding") -> DataFrame:
         """Ranked results for one image, all rows of ``features``; its terms are kept under its name for later searches."""

@@ -38,6 +38,28 @@ def test_score(spark):
     assert found[1].score == pytest.approx(1 / 4 * ia**2 / math.sqrt(2), abs=1e-6)
 
 
+def test_alike_documents_are_scored_once(spark, monkeypatch):
+    """Many queries over few words: the results of ``search``, from pairs of classes."""
+    rows = [(d, "abcd"[(d * d + j * (d % 7)) % 4]) for d in range(120) for j in range(1 + d % 3)]
+    docs = spark.createDataFrame(rows, "doc long, term string").groupBy("doc").agg(F.concat_ws(" ", F.collect_list("term")).alias("text"))
+    index = retrieval.Index.build(docs, "doc", tokens(F.col("text"))).saved()
+    asked = index.postings.select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
+    asked = asked.unionByName(spark.createDataFrame([(500, "a", 1), (500, "zz", 2), (501, "zz", 1), (502, None, 1), (502, "b", 1), (None, "a", 1)], "query long, term string, qtf long"))
+    expected = {tuple(r) for r in retrieval.search(index, asked, 4).collect()}
+    scored, made = retrieval._scored, []
+
+    def counted(*given):
+        out = scored(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "_scored", counted)
+    found = retrieval.search_alike(index, asked, 4).collect()
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    kinds = len({tuple(sorted(r.text.split())) for r in docs.collect()})
+    assert made[0] <= kinds * (kinds + 3) < 120 * 120 / 8
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(0, "a b"), (1, "a")], "id int, text string")
     retrieval.Index.build(docs, "id", tokens(F.col("text"))).write(str(tmp_path))
