@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, same_table, save, scope, small
@@ -21,6 +21,9 @@ KEY_ROWS = 2_000_000
 #: Members of a hub's group up to which they are compared with one another.
 FEW = 64
 
+#: Members of a large group whose differences say what most of its members have, and such groups up to which that is broadcast.
+DRAWN, COMMON_ROWS = 64, 10_000
+
 #: Members apart from their hub from which on a group gets pivots, how many in a round, and rounds. Another round comes
 #: only if the last one linked one in ``WORTH`` of those members.
 APART, PIVOTS, ROUNDS, WORTH = 128, 2, 32, 8
@@ -140,24 +143,70 @@ def _unsettled(tested: DataFrame, roots: DataFrame, open_: DataFrame, sets: Data
     members are linked just if |Da ^ Db| <= c (na + nb), that is if |Da & Db| >= (qa + qb) / 2. Of two members in different
     components one at least is not linked to the hub.
 
-    In groups of up to ``FEW`` members that is computed for each pair, in larger ones as ``_rare`` says.
+    Members of the same groups often have many of these in common. The home of a member is the largest of its groups, and
+    two members with the same home are settled there only; two others in each group that has both.
+
+    In groups of up to ``FEW`` members that is computed for each pair, in larger ones as ``_rare`` says. If a larger group
+    has no more pairs of different homes than ``FEW`` members have pairs, these are computed too, and only the members
+    that are at home are left to ``_rare``.
     """
     c = (100 - percent) / (100 + percent)
     at = _placed(tested, roots)
     at = at.join(small(open_, KEY_ROWS), "h").withColumn("d", F.size("diff")).withColumn("q", F.col("d") - c * F.col("n"))
-    at = save(at.select("h", "k", "id", "c", "linked", "d", "q", "diff"), "diffs")
+    homes = tested.select("h", "id").join(small(open_, KEY_ROWS), "h").groupBy("id").agg(F.max(F.struct("k", "h")).alias("o"))
+    homes = save(homes.select("id", F.col("o.h").alias("home")), "homes")
+    at = at.join(small(homes, KEY_ROWS), "id")
+    at = save(at.select("h", "k", "id", "c", "linked", "d", "q", "home", "diff"), "diffs")
+    parts = at.groupBy("h", "home").agg(F.count("*").alias("n"))
+    size, alike = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+    own = F.sum(F.when(F.col("home") == F.col("h"), F.col("n")).otherwise(0)).alias("own")
+    shape = parts.groupBy("h").agg(((size * size - alike) / 2).alias("cross"), F.max_by("home", "n").alias("major"), own)
+    at = at.join(small(save(shape, "shape"), KEY_ROWS // 4), "h")
+
+    little, mixed = F.col("k") <= FEW, F.col("cross") <= FEW * (FEW - 1) // 2
+    minor = (F.col("home") != F.col("major")) | ((F.col("home") == F.col("h")) & (F.col("own") <= FEW))
+    near = at.where(little | mixed).withColumn("first", little | minor)
+    x, y = (near.select("h", *[F.col(v).alias(v + s) for v in ("id", "c", "linked", "d", "q", "home", "first", "diff")]) for s in "ab")
     need = (F.col("qa") + F.col("qb")) / 2 - 1e-9
     apart = (F.col("ca") != F.col("cb")) & ~(F.col("linkeda") & F.col("linkedb"))
-    little = at.where(F.col("k") <= FEW)
-    x, y = (little.select("h", *[F.col(v).alias(v + s) for v in ("id", "c", "linked", "d", "q", "diff")]) for s in "ab")
-    pairs = x.join(y, "h").where((F.col("ida") < F.col("idb")) & apart & (need <= F.least("da", "db")))
+    here = (F.col("homea") != F.col("homeb")) | (F.col("homea") == F.col("h"))
+    pairs = x.where("firsta").join(y, "h").where((~F.col("firstb") | (F.col("ida") < F.col("idb"))) & here & apart & (need <= F.least("da", "db")))
     direct = pairs.where(F.size(F.array_intersect("diffa", "diffb")) >= need).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    met = _rare(at.where(F.col("k") > FEW))
-    return direct.unionByName(verify(met, sets, percent, items)) if met is not None else direct
+    rest = at.where(~little & (~mixed | ((F.col("home") == F.col("h")) & (F.col("own") > FEW))))
+    rest = save(rest.select("h", "id", "c", "linked", "d", "q", "diff"), "large")
+    if rest.isEmpty():
+        return direct
+    rest, links = _centred(rest)
+    return direct.unionByName(links).unionByName(verify(_rare(rest), sets, percent, items))
+
 
+def _centred(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``at`` with differences from what most members of a group have, instead of from the hub; and links ``(a, b)``.
 
-def _rare(at: DataFrame) -> DataFrame | None:
-    """Pairs ``(a, b)`` of members in different components that may be linked; None if there are no members.
+    A token that most of ``DRAWN`` members have changes sides: who had it loses it, who hadn't gets it. Two members'
+    differences then differ in the same tokens as before, so the test of a pair holds as it is, whichever members are drawn.
+
+    Pairs with qa + qb <= 0 are linked even if they share no token. All members of such pairs are linked to the group's
+    member of least q, so these links stand for them, and the members take its component. Other pairs share a token.
+    """
+    order = Window.partitionBy("h").orderBy(F.xxhash64("id"), "id")
+    drawn = at.select("h", "id").withColumn("_ls_n", F.row_number().over(order)).where(F.col("_ls_n") <= DRAWN).drop("_ls_n")
+    drawn = save(drawn, "drawn")
+    few = save(drawn.groupBy("h").agg(F.count("*").alias("m")), "few")
+    tokens = at.join(small(drawn), ["h", "id"]).select("h", F.explode("diff").alias("t")).groupBy("h", "t").agg(F.count("*").alias("f"))
+    common = tokens.join(small(few), "h").where("2 * f > m").groupBy("h").agg(F.collect_list("t").alias("common"))
+    at = at.join(small(save(common, "common"), COMMON_ROWS), "h", "left")
+    other = F.concat(F.array_except("diff", "common"), F.array_except("common", "diff"))
+    at = at.withColumn("diff", F.when(F.col("common").isNull(), F.col("diff")).otherwise(other)).drop("common")
+    at = save(at.withColumn("q", F.col("q") + F.size("diff") - F.col("d")).withColumn("d", F.size("diff")), "centred")
+    least = at.groupBy("h").agg(F.min(F.struct("q", "id", "c")).alias("p")).where("p.q <= 0")
+    at = at.join(small(save(least, "least"), KEY_ROWS // 4), "h", "left").withColumn("star", F.coalesce(F.col("q") + F.col("p.q") <= 1e-9, F.lit(False)))
+    links = at.where(F.col("star") & (F.col("c") != F.col("p.c"))).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
+    return at.withColumn("c", F.when(F.col("star"), F.col("p.c")).otherwise(F.col("c"))).drop("p", "star"), links
+
+
+def _rare(at: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of members in different components that share a token and may be linked.
 
     The pairs of two members not linked to the hub (U) and those of one that is (L) and one that isn't are found apart,
     as their bounds differ. With s the number of a member's tokens that such a partner has, and m the least q among the
@@ -165,8 +214,6 @@ def _rare(at: DataFrame) -> DataFrame | None:
     Members for whom no partner's 2 s - q reaches their q have no pair. These bounds are taken twice, the second time from
     members that have passed the first. Only what is left is joined by token.
     """
-    if at.isEmpty():
-        return None
     far = ~F.col("linked")
     least = at.groupBy("h").agg(F.min(F.when(far, F.col("q"))).alias("mu"), F.min(F.when(~far, F.col("q"))).alias("ml"))
     least = save(least.where("mu is not null"), "least")
@@ -180,7 +227,7 @@ def _rare(at: DataFrame) -> DataFrame | None:
     entry = F.struct("f", "t")
     both = F.collect_list(F.when(F.col("uu") & far, entry)), F.collect_list(F.when(F.col("ul"), entry))
     shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(both[0]).alias("uu"), F.array_sort(both[1]).alias("ul"))
-    rows = save(held.drop("diff", "d", "k").join(shared, ["h", "id"]), "shared")
+    rows = save(held.drop("diff", "d").join(shared, ["h", "id"]), "shared")
 
     # the bounds once more, from members that are still in question only
     q, uu, ul = F.col("q"), F.size("uu"), F.size("ul")

@@ -160,6 +160,48 @@ def test_clusters_in_one_bucket(spark, k, monkeypatch):
     assert sum(compared) <= 4 * graph.PIVOTS * k
 
 
+def rare_rows(monkeypatch):
+    """The rows and the tokens that ``graph._rare`` is given from now on."""
+    given, rare = [], graph._rare
+
+    def counted(at):
+        given.append(tuple(at.agg(F.count("*"), F.sum("d")).first()))
+        return rare(at)
+
+    monkeypatch.setattr(graph, "_rare", counted)
+    return given
+
+
+def test_members_of_several_groups_are_settled_once(spark, monkeypatch):
+    """Members 0 to 98 share a bucket with the hub 99, and another without it; 99 has the larger group."""
+    rng = random.Random(5)
+    sets = [{t for t in range(60) if rng.random() > 0.12} | {rng.randrange(10**6, 10**7) for _ in range(rng.randrange(8))} for _ in range(100)]
+    sets += [{rng.randrange(10**7, 10**8) for _ in range(30)} for _ in range(100)]
+    expected = roots(100, [(a, b) for a in range(100) for b in range(a) if jaccard(sets[a], sets[b])])
+    rows = [(1, i, 100) for i in range(100)] + [(2, i, 99) for i in range(99)] + [(3, i, 101) for i in range(99, 200)]
+    items = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, items array<long>")
+    given = rare_rows(monkeypatch)
+    found = {r.id: r.root for r in graph.link(spark.createDataFrame(rows, "key long, id long, k long"), items, 80).collect()}
+    assert [found.get(i, i) for i in range(100)] == expected and len(set(expected)) > 5
+    assert not any(i in found for i in range(100, 200))
+    assert len(given) == 1 and given[0][0] <= 200
+
+
+def test_differences_from_what_most_members_have(spark, monkeypatch):
+    """A hub unlike all others: what it alone has or lacks is no part of their differences; those near the centre share no token."""
+    rng = random.Random(6)
+    sets = [set(range(100)) - {rng.randrange(100)} | {rng.randrange(10**6, 10**8) for _ in range(rng.choice((1, 2, 30)))} for _ in range(149)]
+    sets.append(set(range(50, 100)) | set(range(200, 250)))
+    expected = roots(150, [(a, b) for a in range(150) for b in range(a) if jaccard(sets[a], sets[b])])
+    rows = [(1, i, 150) for i in range(150)] + [(2, i, 2) for i in (148, 149)]
+    items = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, items array<long>")
+    monkeypatch.setattr(graph, "ROUNDS", 0)
+    given = rare_rows(monkeypatch)
+    found = {r.id: r.root for r in graph.link(spark.createDataFrame(rows, "key long, id long, k long"), items, 80).collect()}
+    assert [found.get(i, i) for i in range(150)] == expected and len(set(expected)) > 5
+    assert sum(d for _, d in given) <= 149 * 35
+
+
 def test_pipeline_stage_keeps_one_of_each(spark, docs):
     text = " ".join(f"w{i}" for i in range(50))
     table = docs([text, text + " more", "other words entirely here now", None, "", text])
