@@ -24,6 +24,10 @@ FEW = 64
 #: Members of a large group whose differences say what most of its members have, and such groups up to which that is broadcast.
 DRAWN, COMMON_ROWS = 64, 10_000
 
+#: A token is frequent if more members of a group have it than ``OFTEN`` and than one in ``SHARE`` of them, so a group has
+#: no more such tokens than ``SHARE`` members have differences.
+OFTEN, SHARE = 64, 32
+
 #: Members apart from their hub from which on a group gets pivots, how many in a round, and rounds. Another round comes
 #: only if the last one linked one in ``WORTH`` of those members.
 APART, PIVOTS, ROUNDS, WORTH = 128, 2, 32, 8
@@ -137,7 +141,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _unsettled(tested: DataFrame, roots: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, items: Callable[[Column], Column]) -> DataFrame:
-    """Links ``(a, b)`` between members of a hub's group that are in different components.
+    """Links ``(a, b)`` between members of a hub's group that are in different components; ``tested`` is deleted.
 
     Let D be a member's difference from the hub, n its size, c = (100 - percent) / (100 + percent) and q = |D| - c n. Two
     members are linked just if |Da ^ Db| <= c (na + nb), that is if |Da & Db| >= (qa + qb) / 2. Of two members in different
@@ -157,6 +161,7 @@ def _unsettled(tested: DataFrame, roots: DataFrame, open_: DataFrame, sets: Data
     homes = save(homes.select("id", F.col("o.h").alias("home")), "homes")
     at = at.join(small(homes, KEY_ROWS), "id")
     at = save(at.select("h", "k", "id", "c", "linked", "d", "q", "home", "diff"), "diffs")
+    discard(tested)
     parts = at.groupBy("h", "home").agg(F.count("*").alias("n"))
     size, alike = F.sum("n"), F.sum(F.col("n") * F.col("n"))
     own = F.sum(F.when(F.col("home") == F.col("h"), F.col("n")).otherwise(0)).alias("own")
@@ -173,7 +178,7 @@ def _unsettled(tested: DataFrame, roots: DataFrame, open_: DataFrame, sets: Data
     pairs = x.where("firsta").join(y, "h").where((~F.col("firstb") | (F.col("ida") < F.col("idb"))) & here & apart & (need <= F.least("da", "db")))
     direct = pairs.where(F.size(F.array_intersect("diffa", "diffb")) >= need).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
     rest = at.where(~little & (~mixed | ((F.col("home") == F.col("h")) & (F.col("own") > FEW))))
-    rest = save(rest.select("h", "id", "c", "linked", "d", "q", "diff"), "large")
+    rest = rest.select("h", "id", "c", "linked", "d", "q", "diff")
     if rest.isEmpty():
         return direct
     rest, links = _centred(rest)
@@ -215,7 +220,7 @@ def _rare(at: DataFrame) -> DataFrame:
     members that have passed the first. Only what is left is joined by token.
     """
     far = ~F.col("linked")
-    least = at.groupBy("h").agg(F.min(F.when(far, F.col("q"))).alias("mu"), F.min(F.when(~far, F.col("q"))).alias("ml"))
+    least = at.groupBy("h").agg(F.min(F.when(far, F.col("q"))).alias("mu"), F.min(F.when(~far, F.col("q"))).alias("ml"), F.count("*").alias("k"))
     least = save(least.where("mu is not null"), "least")
     # a member linked to the hub needs a partner of q <= 2 |D| - q, as they share |D| tokens at most
     held = at.join(small(least, KEY_ROWS // 4), "h").where(far | (F.col("mu") <= 2 * F.col("d") - F.col("q")))
@@ -223,11 +228,21 @@ def _rare(at: DataFrame) -> DataFrame:
     often = tokens.groupBy("h", "t").agg(
         F.count("*").alias("f"), F.min(F.when(far, F.col("c"))).alias("lu"), F.max(F.when(far, F.col("c"))).alias("hu"), F.count_if("linked").alias("fl"), F.min("c").alias("lo"), F.max("c").alias("hi")
     )
-    often = often.where("lu is not null and lo <> hi").select("h", "t", "f", (F.col("lu") != F.col("hu")).alias("uu"), (F.col("fl") > 0).alias("ul"))
+    often = often.where("lu is not null and lo <> hi").join(small(least.select("h", "k"), KEY_ROWS // 4), "h")
+    frequent = F.col("f") > F.greatest(F.lit(OFTEN), F.col("k") / SHARE)
+    often = save(often.select("h", "t", "f", (F.col("lu") != F.col("hu")).alias("uu"), (F.col("fl") > 0).alias("ul"), frequent.alias("frequent")), "often")
     entry = F.struct("f", "t")
     both = F.collect_list(F.when(F.col("uu") & far, entry)), F.collect_list(F.when(F.col("ul"), entry))
-    shared = tokens.join(often, ["h", "t"]).groupBy("h", "id").agg(F.array_sort(both[0]).alias("uu"), F.array_sort(both[1]).alias("ul"))
-    rows = save(held.drop("diff", "d").join(shared, ["h", "id"]), "shared")
+    scarce = often.where("not frequent").drop("frequent")
+    shared = tokens.join(small(scarce, KEY_ROWS // 8), ["h", "t"]).groupBy("h", "id").agg(both[0].alias("uu"), both[1].alias("ul"))
+    # frequent tokens come last in the order, and a group's are one row
+    last = often.where("frequent").groupBy("h").agg(F.collect_list(F.when(F.col("uu"), F.col("t"))).alias("lastu"), F.collect_list(F.when(F.col("ul"), F.col("t"))).alias("lastl"))
+    rows = held.join(shared, ["h", "id"], "left").join(small(save(last, "last"), COMMON_ROWS), "h", "left")
+    none = F.array().cast("array<struct<f:bigint,t:bigint>>")
+    end = lambda ts: F.coalesce(F.transform(F.array_intersect("diff", ts), lambda t: F.struct(F.lit(2**63 - 1).alias("f"), t.alias("t"))), none)
+    lists = {"uu": F.concat(F.coalesce("uu", none), F.when(far, end("lastu")).otherwise(none)), "ul": F.concat(F.coalesce("ul", none), end("lastl"))}
+    rows = rows.withColumns({k: F.array_sort(v) for k, v in lists.items()}).where("size(uu) > 0 or size(ul) > 0")
+    rows = save(rows.drop("diff", "d", "k", "lastu", "lastl"), "shared")
 
     # the bounds once more, from members that are still in question only
     q, uu, ul = F.col("q"), F.size("uu"), F.size("ul")
@@ -280,6 +295,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, items: Callable[[
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub")).select("key", F.col("hub.id").alias("h"))
     pairs = ranked.join(hubs, "key").where("id <> h").select("h", "id").distinct()
     tested = save(_differences(pairs, sets, percent, items), "tested")
+    discard(ranked)
     links = tested.where("linked").select(F.col("h").alias("a"), F.col("id").alias("b"))
     roots, open_ = _pivoted(tested, components(links), sets, percent, items)
     more = save(_unsettled(tested, roots, open_, sets, percent, items).distinct(), "more")
