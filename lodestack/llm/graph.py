@@ -85,9 +85,10 @@ def _differences(pairs: DataFrame, sets: DataFrame, percent: int, items: Callabl
     left = sets.select(F.col("id").alias("h"), F.col("items").alias("rh"))
     right = sets.select("id", F.col("items").alias("r"))
     both = pairs.join(left, "h").join(right, "id").select("h", "id", items(F.col("rh")).alias("sh"), items(F.col("r")).alias("s"))
-    both = both.select("h", "id", F.array_except("s", "sh").alias("more"), F.array_except("sh", "s").alias("less"), F.size(F.array_intersect("s", "sh")).alias("k"))
+    # the hub's distinct tokens are cheaper to count than those of the intersection, which is what is left of them
+    both = both.select("h", "id", F.array_except("s", "sh").alias("more"), F.array_except("sh", "s").alias("less"), F.size(F.array_distinct("sh")).alias("nh"))
     diff = F.concat("more", F.transform("less", lambda x: F.bitwise_not(x)))
-    both = both.select("h", "id", (F.col("k") + F.size("less")).alias("nh"), (F.col("k") + F.size("more")).alias("n"), diff.alias("diff"))
+    both = both.select("h", "id", "nh", (F.col("nh") - F.size("less") + F.size("more")).alias("n"), diff.alias("diff"))
     return both.withColumn("linked", F.size("diff") * (100 + percent) <= (F.col("n") + F.col("nh")) * (100 - percent))
 
 
@@ -160,7 +161,7 @@ def _unsettled(tested: DataFrame, roots: DataFrame, open_: DataFrame, sets: Data
     homes = tested.select("h", "id").join(small(open_, KEY_ROWS), "h").groupBy("id").agg(F.max(F.struct("k", "h")).alias("o"))
     homes = save(homes.select("id", F.col("o.h").alias("home")), "homes")
     at = at.join(small(homes, KEY_ROWS), "id")
-    at = save(at.select("h", "k", "id", "c", "linked", "d", "q", "home", "diff"), "diffs")
+    at = save(at.select("h", "k", "id", "c", "linked", "d", "q", "home", "diff"), "diffs", hashes=True)
     discard(tested)
     parts = at.groupBy("h", "home").agg(F.count("*").alias("n"))
     size, alike = F.sum("n"), F.sum(F.col("n") * F.col("n"))
@@ -203,7 +204,7 @@ def _centred(at: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = at.join(small(save(common, "common"), COMMON_ROWS), "h", "left")
     other = F.concat(F.array_except("diff", "common"), F.array_except("common", "diff"))
     at = at.withColumn("diff", F.when(F.col("common").isNull(), F.col("diff")).otherwise(other)).drop("common")
-    at = save(at.withColumn("q", F.col("q") + F.size("diff") - F.col("d")).withColumn("d", F.size("diff")), "centred")
+    at = save(at.withColumn("q", F.col("q") + F.size("diff") - F.col("d")).withColumn("d", F.size("diff")), "centred", hashes=True)
     least = at.groupBy("h").agg(F.min(F.struct("q", "id", "c")).alias("p")).where("p.q <= 0")
     at = at.join(small(save(least, "least"), KEY_ROWS // 4), "h", "left").withColumn("star", F.coalesce(F.col("q") + F.col("p.q") <= 1e-9, F.lit(False)))
     links = at.where(F.col("star") & (F.col("c") != F.col("p.c"))).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
@@ -294,7 +295,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, items: Callable[[
     ranked = save(members.select("key", "id").join(degrees, "id"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub")).select("key", F.col("hub.id").alias("h"))
     pairs = ranked.join(hubs, "key").where("id <> h").select("h", "id").distinct()
-    tested = save(_differences(pairs, sets, percent, items), "tested")
+    tested = save(_differences(pairs, sets, percent, items), "tested", hashes=True)
     discard(ranked)
     links = tested.where("linked").select(F.col("h").alias("a"), F.col("id").alias("b"))
     roots, open_ = _pivoted(tested, components(links), sets, percent, items)

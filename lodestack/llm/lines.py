@@ -102,9 +102,11 @@ def _coordinates(lines: DataFrame, limit) -> DataFrame:
     # the partition's number keeps the condition above this projection; below it each hash would be made twice
     low = rows.select("text", "i1", "i2", "n", "i", "most", _hash(F.col("b"), F.col("i")).alias("h"), F.spark_partition_id().alias("part"))
     low = low.where("(h <= most or i = 1) and part >= 0")
-    low = low.withColumn("bin", F.when(F.col("h") <= F.col("most"), F.col("h").bitwiseAND(F.lit(BINS - 1))))
-    mins = [F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)]
-    return low.groupBy("i1", "i2", "n").agg(F.count_if(F.col("i") == 1).alias("copies"), F.max("text").alias("text"), *mins)
+    low = low.withColumn("bin", F.when(F.col("h") <= F.col("most"), F.col("h").bitwiseAND(F.lit(BINS - 1)).cast("int")).otherwise(-1))
+    # a filter leaves the other bins' buffers alone, where a condition inside the function would write all of them for each shingle
+    once = [F.expr("count(1) filter (where i = 1)").alias("copies"), F.expr("max(text) filter (where i = 1)").alias("text")]
+    mins = [F.expr(f"min(h) filter (where bin = {j})").alias(f"m{j}") for j in range(BINS)]
+    return low.groupBy("i1", "i2", "n").agg(*once, *mins)
 
 
 def _keys(found: DataFrame) -> DataFrame:

@@ -138,6 +138,20 @@ def test_links_of_a_dense_family(spark):
     assert len(set(os.listdir(storage.scratch_dir(spark))) - before) == 1, "only the result is left of the tables in between"
 
 
+def test_differences_of_sets_with_repeated_tokens(spark):
+    """The set sizes are those of distinct tokens, and no token is taken for the other side's."""
+    rng = random.Random(29)
+    some = [[rng.randrange(12) for _ in range(rng.randrange(0, 20))] for _ in range(40)]
+    sets = spark.createDataFrame(list(enumerate(some)), "id long, items array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(40) if a != b], "h long, id long")
+    found = graph._differences(pairs, sets, 80, lambda c: c).collect()
+    assert len(found) == 40 * 39
+    for r in found:
+        a, b = set(some[r.h]), set(some[r.id])
+        assert (r.nh, r.n, sorted(r["diff"])) == (len(a), len(b), sorted([*(b - a), *(~x for x in a - b)]))
+        assert r.linked == (100 * len(a & b) >= 80 * len(a | b))
+
+
 @pytest.mark.parametrize("k", [300, 1200])
 def test_clusters_in_one_bucket(spark, k, monkeypatch):
     """Two clusters around centres of 60 % similarity: pairs that are compared at the end grow no faster than members."""
@@ -286,6 +300,14 @@ def test_lines_that_repeat_few_shingles(docs):
     assert [found[i].kept for i in range(len(some))] == [r == i for i, r in enumerate(up)]
 
 
+def test_a_shingle_touches_the_smallest_hash_of_its_bin_only(docs):
+    """The other bins' buffers are left alone: a filter of each aggregate, not a condition that writes them all."""
+    table = lines._lines(docs(["one line of text\nanother line of it"])).select(F.col("_ls_th").alias("text"), "line")
+    plan = lines._coordinates(table, lines._limit)._jdf.queryExecution().toString()
+    plan = plan[plan.index("Physical Plan") :]
+    assert all(re.search(rf"partial_min\(h#\d+L\) FILTER \(WHERE \(bin#\d+ = {j}\)\)", plan) for j in range(lines.BINS))
+
+
 def test_lines_of_a_table_with_clashing_columns(spark, docs):
     table = docs(["one shared line of text", "one shared line of text\nanother line here"])
     for name in ("gone", "line", "line_no", "i1", "c", "first", "root", "h", "more"):
